@@ -8,9 +8,11 @@ confirmed on their full sets, and links are joined into components.
 Scale.  Equal sets are grouped first with partial aggregation, so thousands of exact copies are
 one row afterwards.  A bucket never emits its pairs: each is compared with one centre, the member
 that shares buckets with most others; components then merge what the centre holds together, and
-only buckets that still hold several components go on, with another centre.  When the pairs left
-across components are few against the rows, all of them are compared, so no link is lost to a
-cap.  Joins on a bucket or a centre are plain sort-merge joins, which adaptive execution splits
+only buckets that still hold several components go on.  There a member whose shingles of its own
+(held by no other open set) leave too little to share with any size in the bucket is done; this
+settles the outer members of large families of copies without pairs.  When the pairs left across
+components are few against the rows, all of them are compared, else the bucket takes another
+centre, so no link is lost to a cap.  Joins on a bucket or a centre are plain sort-merge joins, which adaptive execution splits
 when one key is hot.
 
 Edge cases: null and empty texts have an empty set (n_shingles 0) and link with nothing; equal
@@ -122,13 +124,32 @@ def components(links: DataFrame, path: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", spare: int = 8) -> DataFrame:
+def grown(labels: DataFrame | None, links: DataFrame, path: str) -> DataFrame:
+    """Components after more links: the links between the components so far are joined first."""
+    if labels is None:
+        return components(links, path)
+    of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b")
+    new = components(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), path).withColumnRenamed("label", "top")
+    old = labels.join(new.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("top", "label").alias("label"))
+    fresh = new.join(labels, "id", "left_anti").select("id", F.col("top").alias("label"))
+    return _store.saved(old.union(fresh), f"{path}/grown")
+
+
+def undecided(rows: DataFrame) -> DataFrame:
+    """Rows of buckets in which members not yet compared, of several components, are left."""
+    several = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count_if(~F.col("spent")).alias("fresh")).filter("p <> q and fresh > 1").select("key")
+    return rows.join(several, "key")
+
+
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", spare: int = 8, broadcast_ids: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of documents.
 
     Documents whose shingle sets' similarity is percent / 100 or more are linked;
     component_id is the smallest doc_id reachable.  ``spare``: pairs left across components are
     all compared at once when they are fewer than this multiple of the bucket rows; until then
-    each bucket goes on with one more centre.
+    each bucket goes on with one more centre.  ``broadcast_ids``: candidates' ids are broadcast to
+    fetch their full sets if they are no more than this, else joined by a shuffle.
     """
     spark = documents.sparkSession
     path = _store.work_dir(spark, "minhash")
@@ -143,46 +164,53 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
     crowded = in_bucket.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     rows = _store.saved(in_bucket.join(crowded, "key"), f"{path}/rows")
     n_rows = rows.count()
-    links = None
     if n_rows:
         score = rows.groupBy("rep").agg(F.sum("m").alias("score"))
         rows = _store.saved(rows.select("key", "rep").join(score, "rep"), f"{path}/scored")
-        candidates = rows.select(F.col("rep").alias("doc_id")).distinct()
-        sets = _store.saved(docs.join(candidates, "doc_id", "left_semi").mapInArrow(shingle_sets(k), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), f"{path}/sets")
-        sketches = classes.select("rep", "n", "sketch").join(candidates.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")
-        sketches = _store.saved(sketches, f"{path}/sketches")
+        candidates = _store.saved(classes.join(score.select("rep"), "rep", "left_semi").select("rep", "n", "sketch"), f"{path}/candidates")
+        ids = candidates.select(F.col("rep").alias("doc_id"))
+        if candidates.count() <= broadcast_ids:
+            ids = F.broadcast(ids)
+        sets = _store.saved(docs.join(ids, "doc_id", "left_semi").mapInArrow(shingle_sets(k), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), f"{path}/sets")
         limit = estimate_floor(percent / 100)
 
         def confirmed(pairs: DataFrame, name: str) -> DataFrame:
             """Distinct (a, b) pairs that the sketches let pass and the full sets confirm."""
-            left = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-            right = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+            left = candidates.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+            right = candidates.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
             close = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).filter(popcount(F.col("sa"), F.col("sb")) <= limit).select("a", "b", "na", "nb")
             x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb"))
             shared = close.join(y, "b").join(x, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("both"))
             return _store.saved(shared.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b"), f"{path}/{name}")
 
-        open_rows, turn = rows.withColumn("spent", F.lit(False)), 0
+        open_rows, labels, turn = rows.withColumns({"spent": F.lit(False), "part": F.col("rep")}), None, 0
         while True:
             turn += 1
             centre = open_rows.filter("not spent").groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("centre"))
-            faced = open_rows.join(centre, "key")
+            faced = open_rows.select("key", "rep", "score", "spent").join(centre, "key")
             pairs = faced.filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-            found = confirmed(pairs, f"links{turn}")
-            links = found if links is None else links.union(found)
-            labels = components(links, f"{path}/parts{turn}")
+            labels = grown(labels, confirmed(pairs, f"links{turn}"), f"{path}/parts{turn}")
             rest = faced.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "score", (F.col("spent") | (F.col("rep") == F.col("centre"))).alias("spent"), F.coalesce("label", "rep").alias("part"))
-            several = rest.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count_if(~F.col("spent")).alias("fresh")).filter("p <> q and fresh > 1").select("key")
-            open_rows = _store.saved(rest.join(several, "key"), f"{path}/open{turn}")
-            sizes = open_rows.filter("not spent").groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("cross")).agg(F.sum("cross")).first()[0]
-            if not sizes:
+            rest = _store.saved(undecided(rest), f"{path}/rest{turn}")
+            if turn == 1:
+                # the most words a partner may have, from the shingles that no other open set holds
+                still = rest.select(F.col("rep").alias("doc_id")).distinct()
+                alone_in = sets.join(still, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("g")).groupBy("g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
+                bound = candidates.select("rep", "n").join(still.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").join(alone_in, "rep", "left")
+                bound = _store.saved(bound.select("rep", "n", F.floor((F.col("n") - F.coalesce("own", F.lit(0))) * (100 + percent) / percent - F.col("n")).alias("most")), f"{path}/bound")
+            sized = rest.filter("not spent").join(bound, "rep")
+            least = sized.groupBy("key").agg(F.min("n").alias("least"))
+            alive = sized.join(least, "key").filter("most >= least").drop("least")
+            alive = _store.saved(undecided(alive), f"{path}/alive{turn}")
+            cross = alive.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("cross")).agg(F.sum("cross")).first()[0]
+            if not cross:
                 break
-            if sizes // 2 <= spare * n_rows:
-                a, b = (open_rows.filter("not spent").select("key", F.col("rep").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
-                pairs = a.join(b, "key").filter("part_a <> part_b and a < b").select("a", "b").distinct()
-                links = links.union(confirmed(pairs, "links_last"))
-                labels = components(links, f"{path}/parts_last")
+            if cross // 2 <= spare * n_rows:
+                a, b = (alive.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "part", "n", "most"))) for x in "ab")
+                pairs = a.join(b, "key").filter("part_a <> part_b and rep_a < rep_b and n_a <= most_b and n_b <= most_a").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+                labels = grown(labels, confirmed(pairs, "links_last"), f"{path}/parts_last")
                 break
+            open_rows = alive.select("key", "rep", "score", "spent", "part")
         labels = labels.withColumnRenamed("id", "rep")
         classes = classes.select(*alone, "rep").join(labels, "rep", "left").select(*alone, F.coalesce("label", "rep").alias("component"))
     else:
