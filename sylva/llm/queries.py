@@ -3,17 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import odd_minhash, sql
+from . import decontaminate, line_runs, mix_budget, odd_minhash, rule_lists, sql
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_runs.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return odd_minhash.near_duplicates(_documents(spark, sf_dir), k=3, percent=85)
+    return odd_minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import _store
+
+    stats = _store.saved(rule_lists.statistics(_table(spark, sf_dir, "documents")), _store.work_dir(spark, "stats"))
+    labels = _table(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    rules = rule_lists.fit(stats, labels.select(F.col("doc_id").cast("long"), (F.col("quality") == 0).alias("bad")))
+    return rule_lists.judge(stats, rules)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_budget.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {"op8_minhash": op8_minhash}
-SQL = {"op8_minhash": sql.NEAR_DUPLICATES}
+QUERIES = {f.__name__: f for f in (op4_decontamination, op5_line_dedup, op8_minhash, op9_quality_rules, op10_mixing)}
+SQL = {"op5_line_dedup": sql.LINES, "op8_minhash": sql.NEAR_DUPLICATES}
