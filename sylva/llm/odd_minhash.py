@@ -8,9 +8,10 @@ confirmed on their full sets, and links are joined into components.
 Scale.  Equal sets are grouped first with partial aggregation, so thousands of exact copies are
 one row afterwards.  A bucket never emits its pairs: each is compared with one centre, the member
 that shares buckets with most others; components then merge what the centre holds together, and
-only buckets that still hold several components go on.  There a member whose shingles of its own
-(held by no other open set) leave too little to share with any size in the bucket is done; this
-settles the outer members of large families of copies without pairs.  When the pairs left across
+only buckets that still hold several components go on.  There links through
+rare shingles are found by their rarest ones, and a member whose rare shingles leave too little to
+share with any size in the bucket is done; this settles the outer members of large families of
+copies without pairs.  When the pairs left across
 components are few against the rows, all of them are compared, else the bucket takes another
 centre, so no link is lost to a cap.  Joins on a bucket or a centre are plain sort-merge joins, which adaptive execution splits
 when one key is hot.
@@ -142,7 +143,29 @@ def undecided(rows: DataFrame) -> DataFrame:
     return rows.join(several, "key")
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", spare: int = 8, broadcast_ids: int = 4_000_000) -> DataFrame:
+def rare_shingles(rest: DataFrame, candidates: DataFrame, sets: DataFrame, percent: int, rare: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """What two open sets can share apart from common shingles.
+
+    A shingle is rare if ``rare`` open sets hold it or fewer.  A link between sets without a common
+    rare shingle needs both to have enough common ones: ``most`` is the most words a partner of that
+    kind may have.  A link between sets with one shows in the rarest shingles of both (the prefix
+    filter), so joining these finds it; a rare shingle makes a bounded number of pairs.
+    Returns ((rep, n, most), pairs (a, b)).
+    """
+    part = rest.filter("not spent").groupBy(F.col("rep").alias("doc_id")).agg(F.min("part").alias("part"))
+    held = sets.join(part.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("g"))
+    few = held.groupBy("g").agg(F.count("*").alias("df")).filter(F.col("df") <= rare)
+    own = held.join(few, "g").groupBy("rep").agg(F.count("*").alias("rare"), F.sort_array(F.collect_list(F.struct("df", "g"))).alias("first"))
+    sized = candidates.select("rep", "n").join(part.withColumnRenamed("doc_id", "rep"), "rep").join(own, "rep", "left")
+    prefix = F.expr(f"slice(first, 1, CAST(n - ceil(n * {percent} / 100) + 1 AS INT))")
+    most = F.floor((F.col("n") - F.coalesce("rare", F.lit(0))) * (100 + percent) / percent - F.col("n"))
+    bound = _store.saved(sized.select("rep", "part", "n", most.alias("most"), F.filter(prefix, lambda x: x["df"] > 1).alias("first")), f"{path}/bound")
+    heads = bound.select("rep", "part", F.explode("first").alias("x")).select("rep", "part", F.col("x.g").alias("g"))
+    a, b = (heads.select("g", F.col("rep").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
+    return bound.select("rep", "n", "most"), a.join(b, "g").filter("part_a <> part_b and a < b").select("a", "b").distinct()
+
+
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", spare: int = 64, rare: int = 32, broadcast_ids: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of documents.
 
     Documents whose shingle sets' similarity is percent / 100 or more are linked;
@@ -193,11 +216,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
             rest = faced.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "score", (F.col("spent") | (F.col("rep") == F.col("centre"))).alias("spent"), F.coalesce("label", "rep").alias("part"))
             rest = _store.saved(undecided(rest), f"{path}/rest{turn}")
             if turn == 1:
-                # the most words a partner may have, from the shingles that no other open set holds
-                still = rest.select(F.col("rep").alias("doc_id")).distinct()
-                alone_in = sets.join(still, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("g")).groupBy("g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c = 1").groupBy("rep").agg(F.count("*").alias("own"))
-                bound = candidates.select("rep", "n").join(still.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").join(alone_in, "rep", "left")
-                bound = _store.saved(bound.select("rep", "n", F.floor((F.col("n") - F.coalesce("own", F.lit(0))) * (100 + percent) / percent - F.col("n")).alias("most")), f"{path}/bound")
+                bound, shared = rare_shingles(rest, candidates, sets, percent, rare, path)
+                labels = grown(labels, confirmed(shared, "links_rare"), f"{path}/parts_rare")
             sized = rest.filter("not spent").join(bound, "rep")
             least = sized.groupBy("key").agg(F.min("n").alias("least"))
             alive = sized.join(least, "key").filter("most >= least").drop("least")

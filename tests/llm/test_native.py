@@ -76,7 +76,7 @@ def test_every_copy_of_a_chain_is_found(spark):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     want = {i: find(i) for i in sets}
-    for spare in (0, 8):
+    for spare in (0, 64):
         got = odd_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, spare=spare)
         assert {r.doc_id: r.component_id for r in got.collect()} == want
 
