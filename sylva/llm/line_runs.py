@@ -128,6 +128,6 @@ def dedup_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3, ba
     gone = lines.join(known, KEY).filter("doc_id <> last").groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("gone"))
     gone = _store.saved(gone, f"{path}/gone")
     _store.remove(spark, f"{path}/lines")
-    judged = docs.join(gone, "doc_id", "left")
+    judged = docs.join(gone.hint("merge"), "doc_id", "left")  # one plan at every size
     kept = "transform(array(split(text, '\\n', -1)), l -> array_join(transform(array_except(sequence(0, size(l) - 1), gone), i -> l[i]), '\\n'))[0]"
     return judged.select("doc_id", F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr(kept)).alias("kept_text"))

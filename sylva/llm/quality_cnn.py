@@ -55,7 +55,7 @@ class ByteConvNet:
         padded = np.zeros((n - 1) * s.stride + s.window, np.uint8)
         padded[: len(buf)] = buf
         flat = self.p["E"][padded].reshape(-1)
-        view = np.lib.stride_tricks.as_strided(flat, (n, s.window * s.embedding), (s.stride * s.embedding * 4, 4))
+        view = np.lib.stride_tricks.as_strided(flat, (n, s.window * s.embedding), (s.stride * s.embedding * flat.itemsize, flat.itemsize))
         return padded, view
 
     def _chunks(self, n: int) -> list[tuple[int, int]]:
@@ -80,7 +80,7 @@ class ByteConvNet:
             tails = np.array([a[x + s.step : x + s.chunk].max(axis=0, initial=0) for x in starts])
             m = np.maximum(head, tails)
             most, least, total, count = np.maximum(most, m.max(0)), np.minimum(least, m.min(0)), total + m.sum(0), count + len(m)
-        return np.concatenate((most, total / count, least, [np.log1p(len(buf)) / 8])).astype(np.float32)
+        return np.concatenate((most, total / count, least, [np.log1p(len(buf)) / 8])).astype(self.p["W"].dtype)
 
     def scores(self, pooled: np.ndarray) -> np.ndarray:
         p = self.p
@@ -94,7 +94,7 @@ class ByteConvNet:
         for buf in bufs:
             if not len(buf):
                 kept.append(None)
-                rows.append(np.zeros(3 * f + 1, np.float32))
+                rows.append(np.zeros(3 * f + 1, p["W"].dtype))
                 continue
             padded, view = self._windows(buf)
             a = view @ p["W"] + p["b"]
@@ -102,12 +102,12 @@ class ByteConvNet:
             at = np.array([x + a[x:y].argmax(0) for x, y in chunks])
             m = np.maximum(np.take_along_axis(a, at, 0), 0)
             top, low = m.argmax(0), m.argmin(0)
-            rows.append(np.concatenate((m[top, range(f)], m.mean(0), m[low, range(f)], [np.log1p(len(buf)) / 8])).astype(np.float32))
+            rows.append(np.concatenate((m[top, range(f)], m.mean(0), m[low, range(f)], [np.log1p(len(buf)) / 8])).astype(p["W"].dtype))
             kept.append((padded, view, at, m, top, low))
         x = np.array(rows)
         h = np.maximum(x @ p["H"] + p["c"], 0)
         z = h @ p["o"] + p["d"]
-        dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weights / len(bufs)).astype(np.float32)
+        dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weights / len(bufs)).astype(p["W"].dtype)
         g = {k: np.zeros_like(v) for k, v in p.items()}
         g["o"], g["d"] = h.T @ dz, dz.sum(keepdims=True)
         dh = np.outer(dz, p["o"]) * (h > 0)
@@ -122,7 +122,7 @@ class ByteConvNet:
             np.add.at(dm, (low, np.arange(f)), dx[i, 2 * f : 3 * f])
             dm *= m > 0
             places, back = np.unique(at, return_inverse=True)
-            da = np.zeros((len(places), f), np.float32)
+            da = np.zeros((len(places), f), p["W"].dtype)
             np.add.at(da, (back.reshape(at.shape), np.arange(f)), dm)
             g["W"] += view[places].T @ da
             g["b"] += da.sum(0)

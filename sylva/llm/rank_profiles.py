@@ -27,7 +27,6 @@ from pyspark.sql.window import Window
 
 from . import _text
 
-ORDERS = (1, 2, 3)
 _WIDE = 0x110000
 _fold: list[np.ndarray] = []
 
@@ -45,24 +44,16 @@ def folding() -> np.ndarray:
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram, count): n-grams as base-2**21 numbers, 0 standing for the blank at a word's end."""
-    if not text:
+    """(n-gram, count) of a text: code points of 21 bits each, 1 standing for the blank at a word's end."""
+    letters = folding()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if not letters.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    letters = folding()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
     x = np.concatenate(([0], letters, [0]))
     x = x[np.concatenate(([True], (x[1:] != 0) | (x[:-1] != 0)))]  # one blank between words
-    out = [x[x > 0]]
-    if len(x) > 2:
-        two = (x[:-1] << 21) | x[1:]
-        out.append(two[(x[:-1] > 0) | (x[1:] > 0)])
-        if len(x) > 3:
-            out.append(((two[:-1] << 21) | x[2:])[x[1:-1] > 0] + (1 << 62) * 0)
-    return np.unique(np.concatenate([o + (k << 42 if k < 2 else 0) * 0 + 0 for k, o in enumerate(_tagged(out))]), return_counts=True)
-
-
-def _tagged(parts: list[np.ndarray]) -> list[np.ndarray]:
-    """Keep n-grams of different lengths apart: the length is added above 63 bits' last two places."""
-    return [np.int64(k) * np.int64(0x2000000000000000) + p % np.int64(0x2000000000000000) for k, p in enumerate(parts, 0)]
+    x[x == 0] = 1
+    two = (x[:-1] << 21) | x[1:]
+    three = ((two[:-1] << 21) | x[2:])[x[1:-1] > 1]
+    return np.unique(np.concatenate((x[x > 1], two, three)), return_counts=True)
 
 
 def ranked(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:

@@ -223,7 +223,7 @@ def repeated_ranges(documents: DataFrame, length: int = 400, gram: int = 32, buc
 
     def texts_of(rows: DataFrame, *fields: str) -> DataFrame:
         """Texts with the phrases to take from each."""
-        return docs.select("dk", "text").dropDuplicates(["dk"]).join(rows.groupBy("dk").agg(F.collect_list(F.struct(*fields)).alias("found")), "dk")
+        return docs.select("dk", "text").dropDuplicates(["dk"]).join(rows.groupBy("dk").agg(F.collect_list(F.struct(*fields)).alias("found")).hint("merge"), "dk")
 
     rows = _store.saved(docs.select("dk", "text").mapInArrow(parsed, PHRASE), f"{path}/phrases0")
     found = None
@@ -285,5 +285,5 @@ def remove_repeats(documents: DataFrame, length: int = 400, gram: int = 32, buck
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
-    joined = docs.join(ranges, "dk", "left").select("doc_id", "text", "ranges")
+    joined = docs.join(ranges.hint("merge"), "dk", "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<int>>")
