@@ -165,7 +165,7 @@ def rare_shingles(rest: DataFrame, candidates: DataFrame, sets: DataFrame, perce
     return bound.select("rep", "n", "most"), a.join(b, "g").filter("part_a <> part_b and a < b").select("a", "b").distinct()
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", spare: int = 64, rare: int = 32, broadcast_ids: int = 4_000_000) -> DataFrame:
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", spare: int = 64, rare: int = 64, broadcast_ids: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of documents.
 
     Documents whose shingle sets' similarity is percent / 100 or more are linked;
@@ -226,8 +226,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
             if not cross:
                 break
             if cross // 2 <= spare * n_rows:
-                a, b = (alive.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "part", "n", "most"))) for x in "ab")
-                pairs = a.join(b, "key").filter("part_a <> part_b and rep_a < rep_b and n_a <= most_b and n_b <= most_a").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+                drawn = alive.join(candidates.select("rep", "sketch"), "rep")
+                a, b = (drawn.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "part", "n", "most", "sketch"))) for x in "ab")
+                close = popcount(F.col("sketch_a"), F.col("sketch_b")) <= limit
+                pairs = a.join(b, "key").filter("part_a <> part_b and rep_a < rep_b and n_a <= most_b and n_b <= most_a").filter(close).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
                 labels = grown(labels, confirmed(pairs, "links_last"), f"{path}/parts_last")
                 break
             open_rows = alive.select("key", "rep", "score", "spent", "part")

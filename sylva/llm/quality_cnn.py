@@ -130,8 +130,8 @@ class ByteConvNet:
             np.add.at(g["E"], padded[(places[:, None] * s.stride + np.arange(s.window)).reshape(-1)], de)
         return g
 
-    def fit(self, texts: list[bytes], labels: list[int], epochs: int = 6, batch: int = 32, rate: float = 4e-3, seed: int = 0) -> ByteConvNet:
-        """Adam on class-balanced cross-entropy; one class only: its prior."""
+    def fit(self, texts: list[bytes], labels: list[int], epochs: int = 6, least_steps: int = 400, batch: int = 32, rate: float = 4e-3, seed: int = 0) -> ByteConvNet:
+        """Adam on class-balanced cross-entropy, more epochs where rows are few; one class only: its prior."""
         y = np.asarray(labels, np.float32)
         if len(y) == 0 or y.min() == y.max():
             self.p["o"][:] = 0
@@ -141,7 +141,9 @@ class ByteConvNet:
         weights = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
         bufs, r = [np.frombuffer(t, np.uint8) for t in texts], np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
-        total = epochs * -(-len(y) // batch)
+        steps = -(-len(y) // batch)
+        epochs = max(epochs, -(-least_steps // steps))
+        total = epochs * steps
         for _ in range(epochs):
             order = r.permutation(len(y))
             for a in range(0, len(order), batch):
@@ -156,7 +158,7 @@ class ByteConvNet:
         return self
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, max_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(), **options) -> ByteConvNet:
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(), **options) -> ByteConvNet:
     """Train on labels (doc_id, label 0 or 1)."""
     clean = labels.select(F.col("doc_id").cast("long").alias("_label_id"), F.col("label").cast("int").alias("_label")).filter("_label_id is not null and _label is not null")
     some = clean.orderBy(F.xxhash64("_label_id"), "_label_id").limit(max_rows)  # at most max_rows small rows: broadcast

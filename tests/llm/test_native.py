@@ -116,12 +116,11 @@ def test_runs_level_up(spark, tmp_path):
 
 def brute_leaks(rows, items, k=5, least=0.8):
     found = defaultdict(set)
+    sized = [(item, Counter(grams(t, k)), len(split(t))) for item, t in items]
     for i, text in rows:
-        w = split(text)
-        for item, t in items:
-            g = Counter(grams(t, k))
-            n = len(split(t))
-            if not g:
+        w, held = split(text), set(grams(text, k))
+        for item, g, n in sized:
+            if not g or (n >= k and held.isdisjoint(g)):
                 continue
             for s in range(max(1, len(w) - n + 1)):
                 x = Counter(grams(" ".join(w[s : s + n]), k))
