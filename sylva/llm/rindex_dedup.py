@@ -95,7 +95,7 @@ def pieces(buf: np.ndarray, lo: int, hi: int, length: int, gram: int, width: int
 class RunIndex:
     """Run-length Burrows-Wheeler transform of many short texts, with suffix samples at run ends."""
 
-    def __init__(self, texts: list[bytes], deepest: int = 1024):
+    def __init__(self, texts: list[bytes], deepest: int = 1 << 20):
         lengths = np.array([len(t) for t in texts], np.int64)
         self.begin = np.concatenate(([0], np.cumsum(lengths + 1)))  # a gap after each text
         n = int(self.begin[-1])
@@ -105,19 +105,30 @@ class RunIndex:
         text[:n][inside] = np.frombuffer(b"".join(texts), np.uint8)
         owner = np.repeat(np.arange(len(texts)), lengths + 1)
         left = self.begin[1:][owner] - 1 - np.arange(n)  # bytes up to the gap
-        # ranks by 8 bytes, then doubled until every text is covered
-        packed = np.zeros(n, np.uint64)
-        for i in range(8):
-            packed = (packed << np.uint64(8)) | np.where(left > i, text[i : n + i], 0).astype(np.uint64)
-        self.ranks, depth = [self._ranked(packed, np.minimum(left, 8))], 8
-        while depth < min(deepest, int(lengths.max(initial=0))) and int(self.ranks[-1].max()) + 1 < n:
-            last = self.ranks[-1].astype(np.int64)
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - depth] = np.where(left[: n - depth] > depth, last[depth:] + 1, 0)
-            self.ranks.append(self._ranked(last * (n + 2) + ahead))
-            depth *= 2
+        # ranks by as many bytes as fit 63 bits, then by three times as many (twice in long texts) until all are covered
+        used = np.unique(text[:n][inside])
+        bits = max(1, int(len(used)).bit_length())  # 0 is left for the gap
+        code = np.zeros(256, np.int64)
+        code[used] = np.arange(1, len(used) + 1)
+        letters = np.concatenate((np.where(inside, code[text[:n]], 0), np.zeros(64, np.int64)))
+        size = 63 // bits
+        packed = np.zeros(n, np.int64)
+        for i in range(size):
+            packed = (packed << bits) | np.where(left > i, letters[i : n + i], 0)
+        step = 3 if n < (1 << 21) - 2 else 2
+        self.sizes, self.ranks = [size], [self._ranked(packed)]
+        while self.sizes[-1] < min(deepest, int(lengths.max(initial=0))) and int(self.ranks[-1].max(initial=0)) + 1 < n:
+            last, size = self.ranks[-1].astype(np.int64), self.sizes[-1]
+            packed = last
+            for i in range(1, step):
+                ahead = np.zeros(n, np.int64)
+                if i * size < n:
+                    ahead[: n - i * size] = np.where(left[: n - i * size] > i * size, last[i * size :] + 1, 0)
+                packed = packed * (n + 2) + ahead
+            self.ranks.append(self._ranked(packed))
+            self.sizes.append(size * step)
         self.n, self.left, self.text = n, left, text
-        order = np.lexsort((owner, self.ranks[-1]))  # equal rests by text: as if each gap were a letter of its own
+        order = np.argsort(self.ranks[-1].astype(np.int64) * (len(texts) + 1) + owner)  # equal rests by text: as if each gap were a letter of its own
         before = np.where(order > 0, text[order - 1].astype(np.int64), 0)
         gap = (order == 0) | ~inside[order - 1]
         before[gap] = 256 + owner[order[gap]]
@@ -128,15 +139,11 @@ class RunIndex:
         self.tails = order[tail], np.where(tail, np.concatenate((order[1:], [-1])), -1)[tail]
 
     @staticmethod
-    def _ranked(x: np.ndarray, then: np.ndarray | None = None) -> np.ndarray:
-        order = np.argsort(x) if then is None else np.lexsort((then, x))
+    def _ranked(x: np.ndarray) -> np.ndarray:
+        order = np.argsort(x)
         s = x[order]
-        new = s[1:] != s[:-1]
-        if then is not None:
-            t = then[order]
-            new |= t[1:] != t[:-1]
         out = np.empty(len(x), np.int32)
-        out[order] = np.concatenate(([0], np.cumsum(new)))
+        out[order] = np.concatenate(([0], np.cumsum(s[1:] != s[:-1])))[: len(x)]
         return out
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,11 +153,11 @@ class RunIndex:
         room = np.minimum(self.left[a], self.left[b])
         done = np.zeros(len(a), np.int64)
         for level in range(len(self.ranks) - 1, -1, -1):
-            size = 8 << level
-            for _ in range(2 if level == len(self.ranks) - 1 else 1):
+            size = self.sizes[level]
+            for _ in range(2):
                 i, j = np.minimum(a + done, self.n - 1), np.minimum(b + done, self.n - 1)
                 done += np.where((done + size <= room) & (self.ranks[level][i] == self.ranks[level][j]), size, 0)
-        for _ in range(8):
+        for _ in range(self.sizes[0]):
             i, j = np.minimum(a + done, self.n - 1), np.minimum(b + done, self.n - 1)
             done += (done < room) & (self.text[i] == self.text[j])
         out = np.zeros(len(there), np.int64)
@@ -229,15 +236,15 @@ def repeated_ranges(documents: DataFrame, length: int = 400, gram: int = 32, buc
     found = None
     for turn, width in enumerate((24, 1, 0)):
         shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-        often = _store.saved(rows.join(shared, "key"), f"{path}/often{turn}")
+        often = _store.saved(rows.join(shared.hint("merge"), "key"), f"{path}/often{turn}")
         _store.remove(spark, f"{path}/phrases{turn}")
         distinct = often.groupBy("key", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("dk", "lo", "hi")).alias("x"))
         distinct = _store.saved(distinct.select("key", "phrase", "n", "x.dk", "x.lo", "x.hi"), f"{path}/distinct{turn}")
         of_key = _store.saved(distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.sum(F.col("hi") - F.col("lo") + length).alias("size")), f"{path}/keys{turn}")
         hot = of_key.filter((F.col("size") > bucket_bytes) & (F.col("kinds") > 1)) if width else of_key.limit(0)
-        several = distinct.join(of_key.filter("kinds > 1"), "key")
+        several = distinct.join(of_key.filter("kinds > 1").hint("merge"), "key")
         size, n_hot = of_key.filter("kinds > 1").agg(F.sum(F.when(F.col("size") <= bucket_bytes, F.col("size"))), F.count_if(F.col("size") > bucket_bytes)).first()
-        answers = distinct.join(of_key.filter("kinds = 1"), "key").filter("n > 1").select("key", "phrase", F.array(F.lit(0)).alias("a"), F.array(F.col("hi") - F.col("lo")).alias("b"))
+        answers = distinct.join(of_key.filter("kinds = 1").hint("merge"), "key").filter("n > 1").select("key", "phrase", F.array(F.lit(0)).alias("a"), F.array(F.col("hi") - F.col("lo")).alias("b"))
         if size or (n_hot and not width):
             if width:
                 several = several.filter(F.col("size") <= bucket_bytes)
@@ -246,7 +253,7 @@ def repeated_ranges(documents: DataFrame, length: int = 400, gram: int = 32, buc
             index = taken.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: indexed(t), "key long, phrase long, a array<int>, b array<int>")
             answers = answers.union(index.filter("size(a) > 0"))
         answers = _store.saved(answers, f"{path}/answers{turn}")
-        here = often.join(answers, ["key", "phrase"]).select("dk", F.explode(F.expr("transform(a, (x, i) -> struct(lo + x AS a, lo + b[i] AS b))")).alias("r")).select("dk", "r.a", "r.b")
+        here = often.join(answers.hint("merge"), ["key", "phrase"]).select("dk", F.explode(F.expr("transform(a, (x, i) -> struct(lo + x AS a, lo + b[i] AS b))")).alias("r")).select("dk", "r.a", "r.b")
         found = here if found is None else found.union(here)
         if not width or not n_hot:
             break
