@@ -181,6 +181,7 @@ def mantel(a: DataFrame, b: DataFrame, method: str = "pearson", n_perm: int = 99
     both = order(a, "da").join(order(b, "db"), ["x", "y"])
     if method == "spearman":
         both = average_ranks(average_ranks(both, "da", "ra"), "db", "rb").select("x", "y", F.col("ra").alias("da"), F.col("rb").alias("db"))
+    both = both.persist()  # one row a pair, read by every permutation
     names = both.select(F.col("x").alias("item")).union(both.select("y")).distinct()
     moves = names.select(F.lit(0).alias("perm_id"), "item", F.col("item").alias("other")).union(permuted(names, n_perm, seed).select("perm_id", "item", "other"))
     mx, my = moves.select("perm_id", F.col("item").alias("x"), F.col("other").alias("u")), moves.select("perm_id", F.col("item").alias("y"), F.col("other").alias("v"))
