@@ -135,7 +135,7 @@ class TieredShards:
             where = self.spark.createDataFrame([(s.path.split("/data/")[-1], i) for i, g in enumerate(groups) for s in g], "_file string, _group int")
             rows = self.spark.read.parquet(*sorted(merged))
             rows = rows.withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1)).join(F.broadcast(where) if len(merged) <= 100_000 else where, "_file").drop("_file")
-            rows.repartition(len(groups), "_group").write.partitionBy("_group").option("compression", "zstd").parquet(folder)
+            rows.repartitionById(len(groups), F.col("_group")).write.partitionBy("_group").option("compression", "zstd").parquet(folder)
             version = self.commit([s for s in shards if s.path not in merged] + self._written(folder), over)
             for path in merged:
                 _store.remove(self.spark, path)

@@ -8,9 +8,10 @@ memory map without a copy.  Columns: ``tokens`` (16-bit ids where the vocabulary
 the documents that begin in a sequence.  A file is written under an attempt's name and renamed, so
 a lost executor's task leaves no half file and a second attempt gives the same bytes.
 
-Encoding splits a text before each space that follows a character which is not white space; byte-
-level pre-tokenizers of this kind never span such a place, so ids of the pieces are the ids of the
-text.  Pieces are encoded by the library once and remembered, up to ``remembered`` of them.
+Encoding splits a text before each space that follows a character which is not white space, and new
+pieces between a letter and a mark; byte-level pre-tokenizers of this kind never span such a place,
+so ids of the pieces are the ids of the text (special tokens hold no space and are never cut).
+Words are encoded by the library once and remembered by the worker, up to ``remembered`` of them.
 
 Scale.  One exchange by document id, no other; a task holds a batch of texts and one record batch.
 The driver holds one row a file (start and counts); adding these up gives global starts.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,38 +39,69 @@ from . import _store
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 _TWO_BLANKS = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
+_CUT = re.compile(r"(?<=\S) ")
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Inside a piece: between a letter and a mark or line end, and after a line end between a mark and a letter.
+_FINER = re.compile(rf"(?<=[{_LETTER}])(?=[.,;:!?\"|*$%&#\n])|(?<=\S\n)(?=[{_LETTER}])")
 
 
 def chunks(text: str) -> list[str]:
-    """The text's pieces, each encoded alone with the same ids."""
-    if _TWO_BLANKS.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+    """The text cut at each blank that follows a character other than white space; that blank goes
+    with the piece behind it, all pieces but the first having lost theirs."""
+    return _CUT.split(text) if _TWO_BLANKS.search(text) else text.split(" ")
 
 
 class Encoder:
-    """ids of whole texts as little-endian bytes of ``width``."""
+    """ids of whole texts as little-endian bytes of ``width``.
 
-    def __init__(self, tokenizer: str, remembered: int = 300_000):
+    Pieces, and the words in them, are remembered up to ``remembered`` of each; a text's ids are its
+    pieces' ids in order.
+    """
+
+    def __init__(self, tokenizer: str, remembered: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.remembered = Tokenizer.from_file(tokenizer), {}, remembered
+        self.library, self.remembered = Tokenizer.from_file(tokenizer), remembered
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}  # by a piece that has lost its blank
+        self.words: dict[str, bytes] = {}
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = {2: "H", 4: "I"}[self.width.itemsize]
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids from the words in it; words not known are encoded by the library."""
+        special = self.special
+        parts = [[t] if t.isspace() or any(x in t for x in special) else _FINER.split(t) for t in texts]
+        if len(self.words) > self.remembered:
+            self.words.clear()
+        new = list({w for p in parts for w in p}.difference(self.words))
+        for at in range(0, len(new), 8192):
+            some = new[at : at + 8192]
+            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
+                self.words[w] = array(self.code, e.ids).tobytes()
+        get = self.words.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        parts = [chunks(t) if t else [] for t in texts]
+        parts = [chunks(t) if t else None for t in texts]
         if len(self.known) > self.remembered:
             self.known.clear()
-        new = list({c for p in parts for c in p}.difference(self.known))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for c, e in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
-                self.known[c] = np.array(e.ids, self.width).tobytes()
+        new = list(set().union(*(p[1:] for p in parts if p)).difference(self.known))
+        self.known.update(zip(new, self._encoded([" " + c for c in new])))
         get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        firsts = iter(self._encoded([p[0] for p in parts if p]))
+        return [next(firsts) + b"".join(map(get, p[1:])) if p else b"" for p in parts]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer: str) -> Encoder:
+    """The worker's encoder: what it remembers serves its later tasks too."""
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = Encoder(tokenizer)
+    return _encoders[tokenizer]
 
 
 def layout(width: np.dtype, seq_len: int) -> pa.Schema:
@@ -167,7 +200,7 @@ def write(documents: DataFrame, tokenizer: str, folder: str | None = None, seq_l
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
         part = task.partitionId()
         final, own = f"{base}/part-{part:06d}.arrow", f"{base}/.part-{part:06d}-{task.taskAttemptId()}"
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         end = np.array([end_id], encode.width).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
