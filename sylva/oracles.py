@@ -184,7 +184,7 @@ SQL: dict[str, str] = {
     "parsimony_bounds": _aln("SELECT sum(d - 1)::BIGINT AS least, sum(n - m)::BIGINT AS most FROM (SELECT col, count(*) AS d, sum(c) AS n, max(c) AS m FROM (SELECT col, ch, count(*) AS c FROM sites WHERE ch <> '-' GROUP BY ALL) GROUP BY col)"),
     "concatenate_supermatrix": f"WITH {_MARKERS}, wd AS (SELECT marker, marker_ord, max(length(seq)) AS w FROM mk GROUP BY ALL), nm AS (SELECT DISTINCT name FROM mk) SELECT nm.name, string_agg(coalesce(seq, repeat('-', w)), '' ORDER BY wd.marker_ord) AS seq, count(seq) AS n_markers, round(avg((seq IS NOT NULL)::INTEGER), 9) AS occupancy FROM nm CROSS JOIN wd LEFT JOIN mk ON mk.name = nm.name AND mk.marker = wd.marker GROUP BY nm.name",
     "marker_partitions": f"WITH {_MARKERS}, wd AS (SELECT marker, marker_ord, max(length(seq)) AS w, count(*) AS n_taxa FROM mk GROUP BY ALL) SELECT marker, (sum(w) OVER (ORDER BY marker_ord) - w)::BIGINT AS start, (sum(w) OVER (ORDER BY marker_ord))::BIGINT AS \"end\", n_taxa FROM wd",
-    "split_domains": _aln("res AS (SELECT col, row_number() OVER (ORDER BY col) AS r FROM sites WHERE name = 'NATION_3' AND ch <> '-'), b AS (SELECT d.domain, min(col) AS lo, max(col) AS hi FROM res JOIN (VALUES ('early', 1, 9), ('late', 7, 20)) d(domain, a, z) ON r BETWEEN a AND z GROUP BY d.domain) SELECT domain, name, string_agg(ch, '' ORDER BY col) AS seq FROM sites JOIN b ON col BETWEEN lo AND hi GROUP BY ALL"),
+    "split_domains": _aln("res AS (SELECT col, row_number() OVER (ORDER BY col) AS r FROM sites WHERE name = 'NATION_3' AND ch <> '-'), b AS (SELECT d.domain, min(col) AS lo, max(col) AS hi FROM res JOIN (VALUES ('early', 1, 6), ('late', 7, 20)) d(domain, a, z) ON r BETWEEN a AND z GROUP BY d.domain) SELECT domain, name, string_agg(ch, '' ORDER BY col) AS seq FROM sites JOIN b ON col BETWEEN lo AND hi GROUP BY ALL"),
     "biallelic_recode": _aln(_BIALLELIC + "SELECT col, pos, row_ord, allele::BIGINT AS allele FROM al"),
     "four_gamete_pairs": _aln(_BIALLELIC + "SELECT a.pos AS pos_a, b.pos AS pos_b, count(*) >= 2 AS scored, bit_or(1 << (2 * a.allele + b.allele)) = 15 AS incompatible FROM al a JOIN al b ON a.row_ord = b.row_ord AND b.pos - a.pos BETWEEN 1 AND 5 WHERE a.allele IS NOT NULL AND b.allele IS NOT NULL GROUP BY ALL"),
     "codon_f3x4": _aln("""c AS (SELECT substr(seq, (3 * i + 1)::INTEGER, 3) AS codon FROM aln, range(0, 1000) t(i) WHERE 3 * i + 3 <= length(seq)), sense AS (SELECT codon FROM c WHERE NOT contains(codon, '-') AND codon NOT IN ('TAA', 'TAG', 'TGA')),
