@@ -449,6 +449,22 @@ def parsimony_scores(nodes: DataFrame, aln: DataFrame, cost: np.ndarray | None =
     return nodes.groupBy("tree_id").cogroup(aln.withColumnRenamed("aln_id", "tree_id").groupBy("tree_id")).applyInPandas(run, "tree_id string, score double")
 
 
+def ancestral_mutations(nodes: DataFrame, aln: DataFrame) -> DataFrame:
+    """(tree_id, node_id, name, site, state): where irreversible characters arise, for the alignment that bears a tree's id."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = ["tree_id", "node_id", "name", "site", "state"]
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=columns)
+        root, right = tree(left), right.sort_values("row_ord")
+        codes, k = lineage_codes(right["seq"].tolist())
+        number = {id(n): i for i, n in enumerate(root.preorder())}
+        found = gained(root, dict(zip(right["name"], codes)), camin_sokal_cost(k))
+        return pd.DataFrame([(left["tree_id"].iloc[0], number[id(n)], n.name, site, state) for n, site, state in found], columns=columns)
+
+    return nodes.groupBy("tree_id").cogroup(aln.withColumnRenamed("aln_id", "tree_id").groupBy("tree_id")).applyInPandas(run, "tree_id string, node_id int, name string, site int, state int")
+
+
 def constraint_tree(groups: dict[str, str | None]) -> Node:
     """A root polytomy with one polytomy for each label of two tips or more; unlabelled tips hang from the root."""
     by: dict[str, list[str]] = {}

@@ -217,5 +217,47 @@ SQL: dict[str, str] = {
     "ilr_balances": _tree("""gd AS (SELECT s.sample, t.name AS taxon, t.g, ln(coalesce(abundance, 0) + 1e-6) AS l FROM (SELECT DISTINCT sample FROM com) s CROSS JOIN tips t LEFT JOIN com c ON c.sample = s.sample AND c.taxon = t.name),
       wh AS (SELECT sample, sum(l) AS al, count(*) AS an FROM gd GROUP BY sample), bl AS (SELECT edge_id, sample, sum(l) AS l, count(*) AS n FROM paths JOIN gd USING (taxon) GROUP BY ALL)
       SELECT edge_id, sample, round(sqrt(n * (an - n) / an) * (l / n - (al - l) / (an - n)), 9) AS balance FROM bl JOIN wh USING (sample)"""),
+    "tree_levelorder": _tree("SELECT depth AS depth_edges, node_id, name FROM numbered"),
+    "tree_get_node": _tree("SELECT name, n_tips, leaf_lo, leaf_lo + n_tips - 1 AS leaf_hi FROM indexed WHERE name = 'EUROPE'"),
+    "tree_has_lengths": "SELECT 'geo' AS tree_id, TRUE AS has_lengths",
+    "tree_rotate": _tree("SELECT name, CASE WHEN g = 0 THEN (SELECT count(*) FROM tips WHERE g = 0) - 1 - leaf_lo ELSE leaf_lo END AS tip_ord FROM indexed WHERE kind = 'tip'"),
+    "tree_flip": _tree("SELECT name, row_number() OVER (ORDER BY CASE g WHEN 0 THEN 3 WHEN 3 THEN 0 ELSE g END, k) - 1 AS tip_ord FROM tips"),
+    "tree_group_otu": _tree('SELECT name, CASE WHEN g = 1 THEN \'west\' ELSE \'rest\' END AS "group" FROM tips'),
+    "tree_outgroup_root": _tree("o AS (SELECT * FROM tips WHERE name = 'NATION_0') SELECT t.name, CASE WHEN t.name = o.name THEN o.len / 2 WHEN t.g = o.g THEN o.len / 2 + t.len ELSE o.len / 2 + o.glen + t.glen + t.len END AS depth_len FROM tips t, o"),
+    "subtree_abundance": _tree("SELECT sample, edge_id, sum(abundance) AS total FROM com JOIN paths USING (taxon) GROUP BY ALL"),
+    "fasta_entries": _aln("SELECT row_ord, '>' || name || chr(10) || substr(seq, 1, 60) || CASE WHEN length(seq) > 60 THEN chr(10) || substr(seq, 61, 60) ELSE '' END AS fasta FROM aln"),
+    "aln_guess_type": _aln("SELECT 'orders' AS aln_id, CASE WHEN length(regexp_replace(t, '[^ACGTUN-]', '', 'g')) > 0.9 * length(t) THEN 'nucleotide' ELSE 'protein' END AS seqtype FROM (SELECT substr(string_agg(seq, '' ORDER BY row_ord), 1, 2000) AS t FROM aln)"),
+    "aln_select_columns": _aln("SELECT name, substr(seq, 4, 1) || substr(seq, 1, 1) || substr(seq, 4, 1) AS seq FROM aln"),
+    "group_mean_distances": _tree("SELECT least(a.g, b.g)::BIGINT AS a, greatest(a.g, b.g)::BIGINT AS b, round(avg(d), 9) AS d FROM dist2 JOIN tips a ON a.name = x JOIN tips b ON b.name = y GROUP BY ALL"),
+    "heatmap_cells": _tree("""top AS (SELECT nation AS name, 'segment' AS c, 0 AS k, c_mktsegment AS v, count(*) AS n FROM orders_of GROUP BY ALL UNION ALL SELECT nation, 'priority', 1, o_orderpriority, count(*) FROM orders_of GROUP BY ALL),
+      ch AS (SELECT name, c, k, v FROM top QUALIFY row_number() OVER (PARTITION BY name, c ORDER BY n DESC, v DESC) = 1), m AS (SELECT max(depth_len) AS m FROM indexed)
+      SELECT node_id AS ord, c || '=' || v AS text, round(m * 1.02 + m * 0.05 * ch.k, 9) AS x, leaf_lo - 0.5::DOUBLE AS y FROM indexed i JOIN ch USING (name), m WHERE kind = 'tip'"""),
+    "bar_track": _tree("tr AS (SELECT n_name AS name, sum(c_acctbal::DECIMAL(15,2))::DOUBLE AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), m AS (SELECT max(depth_len) AS m FROM indexed) SELECT node_id AS ord, round(m * 0.2 * greatest(v, 0) / (SELECT max(greatest(v, 0)) FROM tr), 9) AS width FROM indexed JOIN tr USING (name), m WHERE kind = 'tip'"),
+    "geo_bands": _tree("""p(period, young, old) AS (VALUES ('Quaternary', 0.0, 2.58), ('Neogene', 2.58, 23.03), ('Paleogene', 23.03, 66.0), ('Cretaceous', 66.0, 145.0), ('Jurassic', 145.0, 201.4), ('Triassic', 201.4, 251.9), ('Permian', 251.9, 298.9), ('Carboniferous', 298.9, 358.9), ('Devonian', 358.9, 419.2)),
+      m AS (SELECT max(100 * depth_len) AS m FROM indexed) SELECT period, round(m - least(old, m), 9)::DOUBLE AS x0, round(m - young, 9)::DOUBLE AS x1 FROM p, m WHERE young < m"""),
+    "scale_bar": _tree("m AS (SELECT max(depth_len) / 10 AS r FROM indexed), q AS (SELECT r, pow(10, floor(log10(r))) AS p FROM m), z AS (SELECT CASE WHEN r / p >= 5 THEN 5 * p WHEN r / p >= 2 THEN 2 * p ELSE p END AS size FROM q) SELECT printf('%.6g', size) AS text, round(size, 9) AS size FROM z"),
+    "node_markers": _tree("SELECT node_id AS ord, name, depth_len AS x FROM numbered WHERE kind <> 'tip'"),
+    "elbow_paths": _tree("""r AS (SELECT node_id, parent_id, depth_len AS x, (leaf_lo + leaf_lo + n_tips - 1) / 2.0::DOUBLE AS y FROM indexed)
+      SELECT c.node_id, 'branch' AS part, p.x AS x0, c.y AS y0, c.x AS x1, c.y AS y1 FROM r c JOIN r p ON p.node_id = c.parent_id
+      UNION ALL SELECT p.node_id, 'connector', any_value(p.x), min(c.y), any_value(p.x), max(c.y) FROM r c JOIN r p ON p.node_id = c.parent_id GROUP BY p.node_id"""),
+    "camin_sokal": f"WITH {_CHARS}, d AS (SELECT character, state, dense_rank() OVER (PARTITION BY character ORDER BY state) AS code FROM (SELECT DISTINCT character, state FROM ch WHERE state <> 'BUILDING')), x AS (SELECT n_regionkey AS g, character, coalesce(code, 0) AS code FROM ch LEFT JOIN d USING (character, state) JOIN nation ON n_name = name), s AS (SELECT g, character, CASE WHEN min(code) = max(code) AND min(code) > 0 THEN 1 ELSE count(*) FILTER (code > 0) END AS c FROM x GROUP BY ALL) SELECT 'geo' AS tree_id, sum(c)::DOUBLE AS score FROM s",
+    "mantel_spearman": _tree("""items AS (SELECT name AS item FROM tips), spread AS (SELECT item, p::INTEGER AS perm_id, md5('3|' || p || '|' || item) AS said FROM items, range(1, 100) t(p)),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY perm_id ORDER BY item) AS i, row_number() OVER (PARTITION BY perm_id ORDER BY said, item) AS j FROM spread),
+      moves AS (SELECT a.perm_id, a.item, b.item AS other FROM placed a JOIN placed b ON a.perm_id = b.perm_id AND a.i = b.j UNION ALL SELECT 0, item, item FROM items),
+      ra AS (SELECT x, y, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0::DOUBLE AS da FROM dist), rb AS (SELECT x, y, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0::DOUBLE AS db FROM dist2),
+      moved AS (SELECT p.perm_id, least(p.other, q.other) AS x, greatest(p.other, q.other) AS y, da FROM ra JOIN moves p ON p.item = x JOIN moves q ON q.item = y AND q.perm_id = p.perm_id),
+      r AS (SELECT perm_id, corr(da, db) AS r, count(*) AS n FROM moved JOIN rb USING (x, y) GROUP BY perm_id), o AS (SELECT r AS r0, n FROM r WHERE perm_id = 0)
+      SELECT round(any_value(r0), 9) AS r, round((count(*) FILTER (abs(r) >= abs(r0) - 1e-12) + 1) / (count(*) + 1), 9) AS p, any_value(o.n) AS n_pairs FROM r, o WHERE perm_id > 0"""),
+    "permanova": _tree("""f AS (SELECT sample, edge_id, any_value(length) AS length, sum(abundance) / any_value(whole) AS f FROM (SELECT *, sum(abundance) OVER (PARTITION BY sample) AS whole FROM com) c JOIN paths USING (taxon) GROUP BY sample, edge_id),
+      s AS (SELECT DISTINCT sample FROM f), e AS (SELECT DISTINCT edge_id, length FROM f),
+      xx AS (SELECT a.sample AS a, b.sample AS b, e.length, coalesce(fa.f, 0) AS fa, coalesce(fb.f, 0) AS fb FROM s a JOIN s b ON a.sample < b.sample CROSS JOIN e LEFT JOIN f fa ON fa.sample = a.sample AND fa.edge_id = e.edge_id LEFT JOIN f fb ON fb.sample = b.sample AND fb.edge_id = e.edge_id),
+      u AS (SELECT a AS x, b AS y, round(sum(length * abs(fa - fb)) / sum(length * (fa + fb)), 9) AS d FROM xx GROUP BY a, b),
+      gr AS (SELECT sample AS item, split_part(sample, '|', 1) AS label FROM s), spread AS (SELECT item, p::INTEGER AS perm_id, md5('5|' || p || '|' || item) AS said FROM gr, range(1, 100) t(p)),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY perm_id ORDER BY item) AS i, row_number() OVER (PARTITION BY perm_id ORDER BY said, item) AS j FROM spread),
+      lab AS (SELECT a.perm_id, a.item, g.label FROM placed a JOIN placed b ON a.perm_id = b.perm_id AND a.i = b.j JOIN gr g ON g.item = b.item UNION ALL SELECT 0, item, label FROM gr),
+      sz AS (SELECT label, count(*) AS m FROM gr GROUP BY label), t AS (SELECT sum(d * d) / (SELECT count(*) FROM gr) AS total FROM u),
+      wi AS (SELECT perm_id, sum(ss / m) AS within FROM (SELECT p.perm_id, p.label, sum(d * d) AS ss FROM u JOIN lab p ON p.item = x JOIN lab q ON q.item = y AND q.perm_id = p.perm_id WHERE p.label = q.label GROUP BY ALL) JOIN sz USING (label) GROUP BY perm_id),
+      nk AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM gr), fs AS (SELECT perm_id, n, k, (total - within) / (k - 1) / (within / (n - k)) AS f, 1 - within / total AS r2 FROM wi, t, nk), o AS (SELECT f AS f0, r2, n, k FROM fs WHERE perm_id = 0)
+      SELECT round(any_value(f0), 9) AS f, round(any_value(o.r2), 9) AS r2, round((count(*) FILTER (fs.f >= f0 - 1e-12) + 1) / (count(*) + 1), 9) AS p, any_value(o.n) AS n, any_value(o.k) AS k FROM fs, o WHERE perm_id > 0"""),
     "stream_community_pd": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS sample, event_type AS taxon, count(*)::DOUBLE AS abundance FROM events GROUP BY ALL",
 }

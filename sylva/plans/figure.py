@@ -34,6 +34,12 @@ def primitives(df: DataFrame, kind: str, points: Column, zorder: float, text: Co
     return df.select(F.col("tree_id").alias("fig_id"), F.lit(kind).alias("kind"), F.lit(float(zorder)).alias("zorder"), F.col(order).cast("int").alias("ord"), points.alias("points"), (text if text is not None else F.lit(None)).cast("string").alias("text"), style(**styles).alias("style"))
 
 
+def number(value: Column) -> Column:
+    """Six significant digits without trailing zeros."""
+    text = F.format_string("%.6g", value)
+    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
 def box(x0, x1, y0, y1) -> Column:
     return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1))
 
@@ -264,7 +270,7 @@ def domains(placed: DataFrame, data: DataFrame, key: str = "name", width: float
 
 def scale_bar(placed: DataFrame) -> DataFrame:
     x = placed.groupBy("tree_id").agg(F.max("max_depth").alias("m"), F.max("tip_ord").alias("n")).filter("m > 0").withColumns({"size": C.nice_step(F.col("m")), "node_id": F.lit(0)})
-    return primitives(x, "path", F.array(point(F.lit(0.0), F.col("n") + 1), point(F.col("size"), F.col("n") + 1)), 3.0, F.format_string("%.6g", F.col("size")), width=1.5)
+    return primitives(x, "path", F.array(point(F.lit(0.0), F.col("n") + 1), point(F.col("size"), F.col("n") + 1)), 3.0, number(F.col("size")), width=1.5)
 
 
 # Bounds of geological periods in million years before present.
@@ -276,7 +282,7 @@ def time_axis(placed: DataFrame, ticks: int = 6, bands: bool = True) -> DataFram
     span = placed.groupBy("tree_id").agg(F.max("max_depth").alias("m"), F.max("tip_ord").alias("n")).filter("m > 0")
     step = C.nice_step(F.col("m"), ticks)
     at = span.withColumn("step", step).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / F.col("step")).cast("int")))).withColumn("age", F.col("k") * F.col("step"))
-    out = primitives(at, "label", F.array(point(F.col("m") - F.col("age"), F.col("n") + 1.5)), 4.0, F.format_string("%.6g", F.col("age")), order="k")
+    out = primitives(at, "label", F.array(point(F.col("m") - F.col("age"), F.col("n") + 1.5)), 4.0, number(F.col("age").cast("double")), order="k")
     if bands:
         table = placed.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(PERIODS)], "k int, period string, young double, old double")
         x = span.join(F.broadcast(table), F.col("young") < F.col("m"))

@@ -133,6 +133,48 @@ def phylo_vcv(s, d):
     return P.phylo_vcv(D.geo(s, d)).select("x", "y", "v")
 
 
+@query
+def tree_levelorder(s, d):
+    return P.traverse(D.geo(s, d), "levelorder").select("depth_edges", "node_id", "name")
+
+
+@query
+def tree_get_node(s, d):
+    return P.get_node(D.geo(s, d), "EUROPE").select("name", "n_tips", "leaf_lo", "leaf_hi")
+
+
+@query
+def tree_has_lengths(s, d):
+    return P.has_branch_lengths(D.geo(s, d)).select("tree_id", "has_lengths")
+
+
+@query
+def tree_rotate(s, d):
+    return R.on_every(D.geo(s, d), R.rotate, "AFRICA").filter("is_leaf").select("name", "tip_ord")
+
+
+@query
+def tree_flip(s, d):
+    return R.on_every(D.geo(s, d), R.flip, "AFRICA", "EUROPE").filter("is_leaf").select("name", "tip_ord")
+
+
+@query
+def tree_group_otu(s, d):
+    return R.on_every(D.geo(s, d), R.group_otu, {"west": ["NATION_1", "NATION_6"]}, "group", "rest").filter("is_leaf").select("name", F.col("data")["group"].alias("group"))
+
+
+@query
+def tree_outgroup_root(s, d):
+    n = R.on_every(D.geo(s, d), R.outgroup_root, ["NATION_0"])
+    return n.filter("is_leaf").select("name", "depth_len")
+
+
+@query
+def subtree_abundance(s, d):
+    c = D.community(s, d).withColumnRenamed("abundance", "value")
+    return P.subtree_sums(D.geo(s, d), c, ["sample"]).select("sample", "edge_id", "total")
+
+
 # -- diversity -----------------------------------------------------------------------------------------
 
 
@@ -392,6 +434,29 @@ for _metric in ("euclidean", "correlation", "cosine"):
     QUERIES[f"expression_{_metric}"] = _expression(_metric)
 
 
+@query
+def fasta_entries(s, d):
+    return T.to_fasta(D.alignment(s, d), 60).select(F.col("row_ord").cast("long").alias("row_ord"), "fasta")
+
+
+@query
+def aln_guess_type(s, d):
+    return A.guess_type(D.alignment(s, d))
+
+
+@query
+def aln_select_columns(s, d):
+    return A.select_columns(D.alignment(s, d), [3, 0, 3]).select("name", "seq")
+
+
+@query
+def group_mean_distances(s, d):
+    g = D.table(s, d, "nation").select("n_name", F.col("n_regionkey").cast("long").alias("g"))
+    a, b = g.select(F.col("n_name").alias("x"), F.col("g").alias("gx")), g.select(F.col("n_name").alias("y"), F.col("g").alias("gy"))
+    x = P.patristic_distances(D.geo(s, d, "n_nationkey div 5")).join(a, "x").join(b, "y")
+    return x.groupBy(F.least("gx", "gy").alias("a"), F.greatest("gx", "gy").alias("b")).agg(r9(F.avg("d")).alias("d"))
+
+
 # -- networks ---------------------------------------------------------------------------------------------------
 
 
@@ -457,6 +522,39 @@ def ring_stack(s, d):
     return scene.select("ord", F.col("text").alias("segment"), r9(F.col("style")["share"].cast("double")).alias("share"))
 
 
+@query
+def heatmap_cells(s, d):
+    scene = figure.heatmap(L.rectangular(D.geo(s, d)), D.characters(s, d))
+    return scene.select("ord", "text", r9(F.col("points")[0]["x"]).alias("x"), F.col("points")[0]["y"].alias("y"))
+
+
+@query
+def bar_track(s, d):
+    scene = figure.bar_track(L.rectangular(D.geo(s, d)), D.traits(s, d), "value")
+    return scene.select("ord", r9(F.col("points")[1]["x"] - F.col("points")[0]["x"]).alias("width"))
+
+
+@query
+def geo_bands(s, d):
+    placed = L.rectangular(R.on_every(D.geo(s, d), lambda root: R.scale_clade(root, [t for t in root.names()], 100.0)))
+    return figure.time_axis(placed).filter("kind = 'polygon'").select(F.col("text").alias("period"), r9(F.col("points")[0]["x"]).alias("x0"), r9(F.col("points")[1]["x"]).alias("x1"))
+
+
+@query
+def scale_bar(s, d):
+    return figure.scale_bar(L.rectangular(D.geo(s, d))).select("text", r9(F.col("points")[1]["x"]).alias("size"))
+
+
+@query
+def node_markers(s, d):
+    return figure.points(L.rectangular(D.geo(s, d)), "nodes").select("ord", F.col("text").alias("name"), F.col("points")[0]["x"].alias("x"))
+
+
+@query
+def elbow_paths(s, d):
+    return L.branch_paths(L.rectangular(D.geo(s, d))).select("node_id", "part", *(F.col("points")[i][c].alias(f"{c}{i}") for i in (0, 1) for c in "xy"))
+
+
 @query
 def color_scale_categorical(s, d):
     return figure.color_scale(D.table(s, d, "customer"), "c_mktsegment").select("value", "color", F.col("place").cast("long").alias("place"))
@@ -524,6 +622,12 @@ def camin_sokal(s, d):
     return B.parsimony_scores(D.geo(s, d), m, irreversible=True)
 
 
+@query
+def ancestral_mutations(s, d):
+    m = T.as_alignment(T.mutation_matrix(D.characters(s, d), wild_type="BUILDING"), "geo")
+    return B.ancestral_mutations(D.geo(s, d), m).select("node_id", "site", "state")
+
+
 @query
 def ml_loglik(s, d):
     def run(left, right):

@@ -193,6 +193,66 @@ def nexus_trees(text: str, annotated: bool = True) -> list[tuple[str, Node]]:
     return out
 
 
+# -- XML dialects ---------------------------------------------------------------------------
+
+
+def _local(element) -> str:
+    return element.tag.rpartition("}")[2]
+
+
+def phyloxml_trees(text: str) -> list[tuple[str, Node]]:
+    """(name, tree) of each phylogeny: clades with name, branch length and the first confidence."""
+    from xml.etree import ElementTree
+
+    def read_clade(e) -> Node:
+        length = e.get("branch_length")
+        node = Node(length=float(length) if length else None)
+        for child in e:
+            kind, said = _local(child), (child.text or "").strip()
+            if kind == "name":
+                node.name = said
+            elif kind == "branch_length" and said:
+                node.length = float(said)
+            elif kind == "confidence" and node.support is None and said:
+                node.support = float(said)
+            elif kind == "clade":
+                node.add(read_clade(child))
+        return node
+
+    out = []
+    for i, p in enumerate(e for e in ElementTree.fromstring(text) if _local(e) == "phylogeny"):
+        name = next(((e.text or "").strip() for e in p if _local(e) == "name"), f"tree{i}")
+        out += [(name, read_clade(e)) for e in p if _local(e) == "clade"]
+    if not out:
+        raise TreeError("no phylogeny")
+    return out
+
+
+def nexml_trees(text: str) -> list[tuple[str, Node]]:
+    """(id, tree) of each tree: nodes labelled by their taxa, edges with lengths."""
+    from xml.etree import ElementTree
+
+    top = ElementTree.fromstring(text)
+    taxa = {e.get("id"): e.get("label") or e.get("id") for e in top.iter() if _local(e) == "otu"}
+    out = []
+    for t in (e for e in top.iter() if _local(e) == "tree"):
+        nodes = {e.get("id"): Node(taxa.get(e.get("otu")) or e.get("label")) for e in t if _local(e) == "node"}
+        below = set()
+        for e in t:
+            if _local(e) == "edge":
+                child = nodes[e.get("target")]
+                child.length = float(e.get("length")) if e.get("length") else None
+                nodes[e.get("source")].add(child)
+                below.add(e.get("target"))
+        roots = [n for i, n in nodes.items() if i not in below]
+        if len(roots) != 1:
+            raise TreeError("a tree has one root")
+        out.append((t.get("id") or f"tree{len(out)}", roots[0]))
+    if not out:
+        raise TreeError("no tree")
+    return out
+
+
 # -- Spark ------------------------------------------------------------------------------------
 
 
@@ -218,9 +278,10 @@ def render(nodes: DataFrame, with_support: bool = True) -> DataFrame:
 def read(spark: SparkSession, path: str, fmt: str = "newick", tree_index: int | None = None) -> DataFrame:
     """Files to a node table; tree_id is the file's name, with the tree's name for NEXUS.
 
-    Formats: newick (one tree a file), nexus, beast, mrbayes (annotated NEXUS).
+    Formats: newick (one tree a file), nexus, beast, mrbayes (annotated NEXUS), phyloxml, nexml.
     """
-    if fmt not in ("newick", "nexus", "beast", "mrbayes"):
+    readers = {"nexus": nexus_trees, "beast": nexus_trees, "mrbayes": nexus_trees, "phyloxml": phyloxml_trees, "nexml": nexml_trees}
+    if fmt != "newick" and fmt not in readers:
         raise ValueError(f"format {fmt!r} is not known")
     files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("tree_id"), F.col("value").alias("newick"))
     if fmt == "newick":
@@ -229,7 +290,7 @@ def read(spark: SparkSession, path: str, fmt: str = "newick", tree_index: int |
     def run(batches):
         for pdf in batches:
             for file, text in zip(pdf["tree_id"], pdf["newick"]):
-                found = nexus_trees(text)
+                found = readers[fmt](text)
                 if tree_index is not None:
                     found = [found[tree_index]]
                 yield frame((f"{file}:{name}", root) for name, root in found)

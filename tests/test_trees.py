@@ -196,3 +196,62 @@ def test_fasta(spark):
     got = [tuple(r) for r in T.read_fasta(spark, ">one first\nACGT\nAC\n>two\nGG\n").orderBy("row_ord").collect()]
     assert got == [("aln", 0, "one", "ACGTAC"), ("aln", 1, "two", "GG")]
     assert T.to_fasta(T.read_fasta(spark, ">one\nACGTA\n"), 2).first().fasta == ">one\nAC\nGT\nA"
+
+
+def test_xml_dialects(spark, tmp_path):
+    xml = '<phyloxml xmlns="http://www.phyloxml.org"><phylogeny rooted="true"><name>t</name><clade><clade><branch_length>0.5</branch_length><confidence type="bootstrap">90</confidence><clade branch_length="1"><name>A</name></clade><clade><name>B</name><branch_length>2</branch_length></clade></clade><clade><name>C</name></clade></clade></phylogeny></phyloxml>'
+    (tmp_path / "a.xml").write_text(xml)
+    assert NW.render(NW.read(spark, str(tmp_path / "a.xml"), "phyloxml")).first().newick == "((A:1,B:2)90:0.5,C);"
+    xml = '<nexml xmlns="http://www.nexml.org/2009"><otus id="o"><otu id="o1" label="A"/><otu id="o2" label="B"/></otus><trees><tree id="t"><node id="r"/><node id="x" otu="o1"/><node id="y" otu="o2"/><edge source="r" target="x" length="1.5"/><edge source="r" target="y" length="2"/></tree></trees></nexml>'
+    ((name, root),) = NW.nexml_trees(xml)
+    assert name == "t" and NW.to_newick(root) == "(A:1.5,B:2);"
+
+
+def test_files_round_trip(spark, tmp_path):
+    NW.write(NW.parse(spark.createDataFrame([("x", HAND)], "tree_id string, newick string")), f"file://{tmp_path}/out")
+    assert NW.render(NW.read(spark, f"{tmp_path}/out/part-*")).first().newick == HAND
+    (tmp_path / "b.nex").write_text("#NEXUS\nbegin trees;\ntree one = ((a,b),c);\ntree two = ((a,c),b);\nend;")
+    assert NW.read(spark, f"{tmp_path}/b.nex", "nexus").select("tree_id").distinct().count() == 2
+    assert NW.read(spark, f"{tmp_path}/b.nex", "nexus", tree_index=1).filter("is_leaf").count() == 3
+    with pytest.raises(ValueError):
+        NW.read(spark, "x", "magic")
+
+
+def test_missing_programs_are_named(spark):
+    from pyspark.errors import PySparkException
+
+    from sylva.sources import external
+
+    aln = spark.createDataFrame([("a", i, n, "ACGT") for i, n in enumerate("abc")], "aln_id string, row_ord int, name string, seq string")
+    with pytest.raises(PySparkException, match="not installed"):
+        external.infer(aln, "rapidnj", path="/no/such/program").collect()
+
+
+def test_figures(spark, tmp_path):
+    from sylva.operators.phylo import edit
+    from sylva.plans import figure, layout
+    from sylva.sources.builtin import primates_metadata
+
+    nodes = P.join_data(primates(spark), primates_metadata(spark))
+    meta = primates_metadata(spark)
+    fig = figure.TreeFigure(nodes).tip_labels(italic=True).tip_points(color_by="habitat", size_by="body_mass_kg").support_labels(min_value=90).highlight(by="habitat").heatmap(meta, ["habitat"]).bar_track(meta, "body_mass_kg").time_axis().scale_bar().connections(spark.createDataFrame([("Human", "Baboon")], "a string, b string"))
+    scene = fig.scene().cache()
+    assert {r.kind for r in scene.select("kind").distinct().collect()} == {"path", "marker", "label", "polygon"}
+    assert scene.filter("kind = 'marker'").count() == 7 and figure.svg(scene).first().svg.count("<circle") == 7
+    fig.save(str(tmp_path / "scene"))
+    assert spark.read.parquet(str(tmp_path / "scene")).count() == scene.count()
+    for name in ("circular", "fan", "inward", "equal_angle", "daylight", "dendrogram", "slanted", "cladogram"):
+        assert figure.TreeFigure(nodes, name).scene().filter("kind = 'path'").count() >= 11
+    tangled = figure.tangle(nodes, edit(nodes, R.ladderize).withColumn("tree_id", F_lit("b")))
+    assert tangled.filter("fig_id = 'links'").count() == 7
+    assert figure.densi(nodes.unionByName(nodes.withColumn("tree_id", F_lit("c"))), "primates").count() > 10
+    with pytest.raises(ValueError):
+        layout.get_layout("magic")
+    with pytest.raises(ValueError):
+        figure.connections(layout.rectangular(nodes), spark.createDataFrame([("Human", "Nobody")], "a string, b string"))
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+
+    return F.lit(x)
