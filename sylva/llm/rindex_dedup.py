@@ -2,8 +2,9 @@
 
 Every ``length``-byte string is dealt to one anchor: the least hash among the ``gram``-byte grams
 inside it.  Equal strings have equal anchors at equal places, so they meet under the anchor's key
-whatever documents they stand in.  The strings of an anchor are consecutive and form one phrase of
-less than two lengths of bytes; documents become sequences of phrases (as in prefix-free parsing
+whatever documents they stand in.  The strings of an anchor are consecutive; those that start in the
+same half of the places before it form one phrase of less than two lengths of bytes, keyed by the
+more than half a length of bytes that they all share; documents become sequences of phrases (as in prefix-free parsing
 for large Burrows-Wheeler transforms), and a dictionary counts each distinct phrase.
 
 An anchor with one distinct phrase needs nothing more: the phrase's count says whether it repeats.
@@ -60,8 +61,12 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:m], ahead[width - 1 : width - 1 + m])
 
 
-def phrases(buf: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(key, phrase hash, first string's start, last string's start, anchor) of a document's phrases."""
+def phrases(buf: np.ndarray, length: int, gram: int, width: int | None = None) -> tuple[np.ndarray, ...]:
+    """(key, phrase hash, first string's start, last string's start, anchor) of a document's phrases.
+
+    With a width, strings of an anchor are dealt further by how far before it they start, and the key
+    is that of the bytes which all strings of such a run share, not of the anchor's gram alone.
+    """
     if len(buf) < length:
         return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     run, down = prefix_hashes(buf)
@@ -69,11 +74,17 @@ def phrases(buf: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     grams = _text.mixed((run[gram:] - run[:n]) * down[:n])
     least = sliding_least((grams & ~_PLACE) | np.arange(n, dtype=np.uint64), length - gram + 1)
     anchor = (least & _PLACE).astype(np.int64)
-    lo = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    run_of = np.zeros(len(anchor), np.int64) if width is None else (anchor - np.arange(len(anchor))) // width
+    lo = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (run_of[1:] != run_of[:-1]))))
     hi = np.concatenate((lo[1:], [len(anchor)])) - 1
     at = anchor[lo]
     whole = _text.mixed((run[hi + length] - run[lo]) * down[lo])
-    return grams[at], _text.mixed(whole * np.uint64(31) + (at - lo).astype(np.uint64)), lo, hi, at
+    key = grams[at]
+    if width is not None:
+        a = at - run_of[lo] * width
+        b = a - width + 1 + length
+        key = _text.mixed(_text.mixed((run[b] - run[a]) * down[a]) + run_of[lo].astype(np.uint64) * np.uint64(77))
+    return key, _text.mixed(whole * np.uint64(31) + (at - lo).astype(np.uint64)), lo, hi, at
 
 
 def pieces(buf: np.ndarray, lo: int, hi: int, length: int, gram: int, width: int):
@@ -193,7 +204,7 @@ def repeated_ranges(documents: DataFrame, length: int = 400, gram: int = 32, buc
                 buf, at = _text.utf8(batch.column("text"))
                 ids, out = batch.column("dk").to_numpy(), [[] for _ in range(5)]
                 for d in range(batch.num_rows):
-                    key, phrase, lo, hi, _ = phrases(buf[at[d] : at[d + 1]], length, gram)
+                    key, phrase, lo, hi, _ = phrases(buf[at[d] : at[d + 1]], length, gram, (length - gram) // 2 + 1)
                     for column, x in zip(out, (key.view(np.int64), phrase.view(np.int64), np.full(len(key), ids[d]), lo.astype(np.int32), hi.astype(np.int32))):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["key", "phrase", "dk", "lo", "hi"])

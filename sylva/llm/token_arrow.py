@@ -30,16 +30,18 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _store
+from . import _store, _text
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 _TWO_BLANKS = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
+_ODD_BLANK = "[\\s\\v\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "  # as _TWO_BLANKS
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Inside a piece: between a letter and a mark or line end, and after a line end between a mark and a letter.
 _FINER = re.compile(rf"(?<=[{_LETTER}])(?=[.,;:!?\"|*$%&#\n])|(?<=\S\n)(?=[{_LETTER}])")
@@ -94,6 +96,42 @@ class Encoder:
         return [next(firsts) + b"".join(map(get, p[1:])) if p else b"" for p in parts]
 
 
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """As a call, with the splitting and the look-up of repeated pieces done by Arrow: Python sees
+        each distinct piece of the column once."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD_BLANK).to_numpy(zero_copy_only=False)
+        out: list[bytes | None] = [None] * len(texts)
+        rare = np.flatnonzero(odd)
+        for i, ids in zip(rare, self([texts[int(i)].as_py() for i in rare])):
+            out[i] = ids
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        ends = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        distinct = coded.dictionary.to_pylist()
+        new = [c for c in distinct if c not in self.known]
+        self.known.update(zip(new, self._encoded([" " + c for c in new])))
+        ids = list(map(self.known.__getitem__, distinct))
+        firsts = self._encoded([parts[i][0].as_py() for i in range(len(parts))])
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[ends[:-1]] = len(ids) + np.arange(len(firsts))  # a text's first piece has no blank before it
+        ids += firsts
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width.itemsize
+        blob, begin = np.frombuffer(b"".join(ids), self.width), np.concatenate(([0], np.cumsum(size)))
+        count = size[at]
+        upto = np.concatenate(([0], np.cumsum(count)))
+        every = blob[np.repeat(begin[at] - upto[:-1], count) + np.arange(upto[-1])]
+        bounds = upto[ends]
+        for i, a, b in zip(plain.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            out[i] = every[a:b].tobytes()
+        return out
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -203,13 +241,12 @@ def write(documents: DataFrame, tokenizer: str, folder: str | None = None, seq_l
         encode = encoder(tokenizer)
         end = np.array([end_id], encode.width).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in _text.pieces(batch, "text", 8 << 20):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     sink = fs.open_output_stream(own)
                     writer = Writer(sink, encode.width, seq_len, rows)
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encode(some.column("text").to_pylist())):
+                for doc_id, ids in zip(some.column("doc_id").to_pylist(), encode.column(some.column("text"))):
                     writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()

@@ -110,6 +110,8 @@ def test_pieces_have_the_ids_of_the_text():
     encode = token_arrow.Encoder(TOKENIZER)
     got = [np.frombuffer(b, encode.width).tolist() for b in encode(texts)]
     assert [x + [0] for x in got] == reference_ids(texts)
+    column = encode.column(pa.array([*texts, None]))
+    assert [np.frombuffer(b, encode.width).tolist() + [0] for b in column] == reference_ids([*texts, None])
 
 
 def test_tokens_round_trip(spark, tmp_path):
