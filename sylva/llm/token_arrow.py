@@ -26,7 +26,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +40,14 @@ from . import _store, _text
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 _TWO_BLANKS = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
-_ODD_BLANK = "[\\s\\v\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "  # as _TWO_BLANKS
+_SPLIT = "\ue000"  # parts words for a moment; texts that hold it go the plain way
+_ODD = "[\\s\\v\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] |\\x{e000}"  # as _TWO_BLANKS, or _SPLIT
 _LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-#: Inside a piece: between a letter and a mark or line end, and after a line end between a mark and a letter.
-_FINER = re.compile(rf"(?<=[{_LETTER}])(?=[.,;:!?\"|*$%&#\n])|(?<=\S\n)(?=[{_LETTER}])")
+_MARK = '.,;:!?"*$%&#'
+#: Inside a piece: between a letter and a mark or line end, and after a line end between a letter or mark and a letter.
+_FINER = re.compile(rf"(?<=[{_LETTER}])(?=[{_MARK}\n])|(?<=[{_LETTER}{_MARK}]\n)(?=[{_LETTER}])")
+_AFTER_LETTER = rf"([A-Za-z\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{24f}}])([{_MARK}\n])"
+_AFTER_LINE = rf"([{_MARK}]\n)([A-Za-z\x{{c0}}-\x{{d6}}\x{{d8}}-\x{{f6}}\x{{f8}}-\x{{24f}}])"
 
 
 def chunks(text: str) -> list[str]:
@@ -56,82 +59,85 @@ def chunks(text: str) -> list[str]:
 class Encoder:
     """ids of whole texts as little-endian bytes of ``width``.
 
-    Pieces, and the words in them, are remembered up to ``remembered`` of each; a text's ids are its
-    pieces' ids in order.
+    A text's ids are the ids of its words in order; words are encoded once and remembered.
     """
 
-    def __init__(self, tokenizer: str, remembered: int = 700_000):
+    def __init__(self, tokenizer: str, remembered: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.remembered = Tokenizer.from_file(tokenizer), remembered
+        self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}  # by a piece that has lost its blank
         self.words: dict[str, bytes] = {}
-        self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = {2: "H", 4: "I"}[self.width.itemsize]
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids from the words in it; words not known are encoded by the library."""
-        special = self.special
-        parts = [[t] if t.isspace() or any(x in t for x in special) else _FINER.split(t) for t in texts]
+    def _learn(self, words: list[str]) -> None:
+        """Have the library encode the words that are not known yet."""
         if len(self.words) > self.remembered:
             self.words.clear()
-        new = list({w for p in parts for w in p}.difference(self.words))
+        new = [w for w in words if w not in self.words]
         for at in range(0, len(new), 8192):
             some = new[at : at + 8192]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.words[w] = array(self.code, e.ids).tobytes()
-        get = self.words.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+            said = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ends = np.cumsum(np.bincount(np.array(said.word_ids, np.int64), minlength=len(some))) * self.width.itemsize if len(said) else np.zeros(len(some), np.int64)
+            data, last = np.array(said.ids, self.width).tobytes(), 0
+            for w, end in zip(some, ends.tolist()):
+                self.words[w] = data[last:end]
+                last = end
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        parts = [chunks(t) if t else None for t in texts]
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        new = list(set().union(*(p[1:] for p in parts if p)).difference(self.known))
-        self.known.update(zip(new, self._encoded([" " + c for c in new])))
-        get = self.known.__getitem__
-        firsts = iter(self._encoded([p[0] for p in parts if p]))
-        return [next(firsts) + b"".join(map(get, p[1:])) if p else b"" for p in parts]
-
+        """Texts one by one, with pieces cut by Python's patterns."""
+        parts = []
+        for t in texts:
+            pieces = chunks(t) if t else []
+            pieces = pieces[:1] + [" " + c for c in pieces[1:]]
+            parts.append([w for c in pieces if c for w in ([c] if c.isspace() or any(x in c for x in self.special) else _FINER.split(c))])
+        self._learn(list({w for p in parts for w in p}))
+        return [b"".join(map(self.words.__getitem__, p)) for p in parts]
 
     def column(self, texts: pa.Array) -> list[bytes]:
-        """As a call, with the splitting and the look-up of repeated pieces done by Arrow: Python sees
-        each distinct piece of the column once."""
+        """As a call, with the cutting and the look-up of repeated pieces and words done by Arrow: Python
+        sees each distinct word of the column once."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, _ODD_BLANK).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         out: list[bytes | None] = [None] * len(texts)
-        rare = np.flatnonzero(odd)
+        rare, plain = np.flatnonzero(odd), np.flatnonzero(~odd)
         for i, ids in zip(rare, self([texts[int(i)].as_py() for i in rare])):
             out[i] = ids
-        plain = np.flatnonzero(~odd)
         if not len(plain):
             return out
         parts = pc.split_pattern(texts.take(pa.array(plain)), " ")
         ends = parts.offsets.to_numpy()
-        coded = parts.flatten().dictionary_encode()
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        distinct = coded.dictionary.to_pylist()
-        new = [c for c in distinct if c not in self.known]
-        self.known.update(zip(new, self._encoded([" " + c for c in new])))
-        ids = list(map(self.known.__getitem__, distinct))
-        firsts = self._encoded([parts[i][0].as_py() for i in range(len(parts))])
+        flat = parts.flatten()
+        coded = flat.dictionary_encode()
+        # distinct pieces with the blank before them; a text's first piece has none
+        pieces = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar("", pa.large_string()), coded.dictionary, pa.scalar(" ", pa.large_string())), flat.take(pa.array(ends[:-1].astype(np.int64)))])
         at = coded.indices.to_numpy().astype(np.int64)
-        at[ends[:-1]] = len(ids) + np.arange(len(firsts))  # a text's first piece has no blank before it
-        ids += firsts
+        at[ends[:-1]] = len(coded.dictionary) + np.arange(len(parts))
+        cut = pc.replace_substring_regex(pc.replace_substring_regex(pieces, _AFTER_LETTER, rf"\1{_SPLIT}\2"), _AFTER_LINE, rf"\1{_SPLIT}\2")
+        for x in self.special:
+            cut = pc.if_else(pc.match_substring(pieces, x), pieces, cut)
+        words = pc.split_pattern(cut, _SPLIT)
+        word_ends, own = words.offsets.to_numpy(), words.flatten().dictionary_encode()
+        distinct = own.dictionary.to_pylist()
+        self._learn(distinct)
+        ids = list(map(self.words.__getitem__, distinct))
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width.itemsize
-        blob, begin = np.frombuffer(b"".join(ids), self.width), np.concatenate(([0], np.cumsum(size)))
-        count = size[at]
-        upto = np.concatenate(([0], np.cumsum(count)))
-        every = blob[np.repeat(begin[at] - upto[:-1], count) + np.arange(upto[-1])]
-        bounds = upto[ends]
+        of_piece, bounds = _gathered(np.frombuffer(b"".join(ids), self.width), np.concatenate(([0], np.cumsum(size))), own.indices.to_numpy().astype(np.int64))
+        every, bounds = _gathered(of_piece, bounds[word_ends], at)
+        bounds = bounds[ends]
         for i, a, b in zip(plain.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
             out[i] = every[a:b].tobytes()
         return out
 
 
+def _gathered(values: np.ndarray, begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs begin[i]:begin[i + 1] of values for each i in which, one after the other; where each begins, with the end)."""
+    count = (begin[1:] - begin[:-1])[which]
+    upto = np.concatenate(([0], np.cumsum(count)))
+    return values[np.repeat(begin[which] - upto[:-1], count) + np.arange(upto[-1])], upto
+
+
 _encoders: dict[str, Encoder] = {}
 
 
