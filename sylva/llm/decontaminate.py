@@ -89,11 +89,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame, k: int = 5, similarity: fl
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """(doc_id, contaminated, n_items, n_windows, similarity), a row for each row of documents."""
+    """(doc_id, contaminated, kept, n_items, n_windows, similarity), a row for each row of documents; kept: not contaminated."""
     found = leaks(documents, benchmark, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.count_distinct("item_id").alias("n_items"), F.count("*").alias("n_windows"), F.max("similarity").alias("similarity"))
     ids = documents.select(F.col(id_col).cast("long").alias("doc_id"))
     out = ids.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.col("n_items").isNull().alias("kept"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
