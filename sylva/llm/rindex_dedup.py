@@ -246,7 +246,7 @@ def repeated_ranges(documents: DataFrame, length: int = 400, gram: int = 32, buc
     rows = _store.saved(docs.select("dk", "text").mapInArrow(parsed, PHRASE), f"{path}/phrases0")
     found = None
     for turn, width in enumerate((24, 1, 0)):
-        shared = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+        shared = _store.saved(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), f"{path}/shared{turn}")  # so that both sides of the join are exchanged and a hot key can be split
         often = _store.saved(rows.join(shared.hint("merge"), "key"), f"{path}/often{turn}")
         _store.remove(spark, f"{path}/phrases{turn}")
         distinct = often.groupBy("key", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("dk", "lo", "hi")).alias("x"))
@@ -261,7 +261,9 @@ def repeated_ranges(documents: DataFrame, length: int = 400, gram: int = 32, buc
                 several = several.filter(F.col("size") <= bucket_bytes)
             buckets = max(1, -(-(size or bucket_bytes) // bucket_bytes) * 2)
             taken = texts_of(several.select("dk", "key", "phrase", "n", "lo", "hi"), "key", "phrase", "n", "lo", "hi").mapInArrow(cut_out, "key long, phrase long, n long, bytes binary")
-            index = taken.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: indexed(t), "key long, phrase long, a array<int>, b array<int>")
+            tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)  # a few buckets a task: indexing is work for the processor
+            taken = taken.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition(tasks, "bucket")
+            index = taken.groupBy("bucket").applyInArrow(lambda t: indexed(t), "key long, phrase long, a array<int>, b array<int>")
             answers = answers.union(index.filter("size(a) > 0"))
         answers = _store.saved(answers, f"{path}/answers{turn}")
         here = often.join(answers.hint("merge"), ["key", "phrase"]).select("dk", F.explode(F.expr("transform(a, (x, i) -> struct(lo + x AS a, lo + b[i] AS b))")).alias("r")).select("dk", "r.a", "r.b")
