@@ -220,8 +220,8 @@ SQL: dict[str, str] = {
     "tree_levelorder": _tree("SELECT depth AS depth_edges, node_id, name FROM numbered"),
     "tree_get_node": _tree("SELECT name, n_tips, leaf_lo, leaf_lo + n_tips - 1 AS leaf_hi FROM indexed WHERE name = 'EUROPE'"),
     "tree_has_lengths": "SELECT 'geo' AS tree_id, TRUE AS has_lengths",
-    "tree_rotate": _tree("SELECT name, CASE WHEN g = 0 THEN (SELECT count(*) FROM tips WHERE g = 0) - 1 - leaf_lo ELSE leaf_lo END AS tip_ord FROM indexed WHERE kind = 'tip'"),
-    "tree_flip": _tree("SELECT name, row_number() OVER (ORDER BY CASE g WHEN 0 THEN 3 WHEN 3 THEN 0 ELSE g END, k) - 1 AS tip_ord FROM tips"),
+    "tree_rotate": _tree("SELECT name, (CASE WHEN g = 0 THEN (SELECT count(*) FROM tips WHERE g = 0) - 1 - leaf_lo ELSE leaf_lo END)::INTEGER AS tip_ord FROM indexed WHERE kind = 'tip'"),
+    "tree_flip": _tree("SELECT name, (row_number() OVER (ORDER BY CASE g WHEN 0 THEN 3 WHEN 3 THEN 0 ELSE g END, k) - 1)::INTEGER AS tip_ord FROM tips"),
     "tree_group_otu": _tree('SELECT name, CASE WHEN g = 1 THEN \'west\' ELSE \'rest\' END AS "group" FROM tips'),
     "tree_outgroup_root": _tree("o AS (SELECT * FROM tips WHERE name = 'NATION_0') SELECT t.name, CASE WHEN t.name = o.name THEN o.len / 2 WHEN t.g = o.g THEN o.len / 2 + t.len ELSE o.len / 2 + o.glen + t.glen + t.len END AS depth_len FROM tips t, o"),
     "subtree_abundance": _tree("SELECT sample, edge_id, sum(abundance) AS total FROM com JOIN paths USING (taxon) GROUP BY ALL"),
