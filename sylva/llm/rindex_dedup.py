@@ -259,9 +259,9 @@ def repeated_ranges(documents: DataFrame, length: int = 400, gram: int = 32, buc
         if size or (n_hot and not width):
             if width:
                 several = several.filter(F.col("size") <= bucket_bytes)
-            buckets = max(1, -(-(size or bucket_bytes) // bucket_bytes) * 2)
+            buckets = max(1, -(-(size or bucket_bytes) // bucket_bytes) * 4)  # a quarter of bucket_bytes each, a hot key more
             taken = texts_of(several.select("dk", "key", "phrase", "n", "lo", "hi"), "key", "phrase", "n", "lo", "hi").mapInArrow(cut_out, "key long, phrase long, n long, bytes binary")
-            tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)  # a few buckets a task: indexing is work for the processor
+            tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 16)  # some buckets a task: indexing is work for the processor
             taken = taken.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition(tasks, "bucket")
             index = taken.groupBy("bucket").applyInArrow(lambda t: indexed(t), "key long, phrase long, a array<int>, b array<int>")
             answers = answers.union(index.filter("size(a) > 0"))
