@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import drawn
 from . import alignment as A
-from .phylo import NODES, Node, TreeError, frame, mrca, tree
+from .phylo import NODES, Node, TreeError, frame, tree
 from .rooting import midpoint_root
 
 # -- from distances ------------------------------------------------------------------------------
@@ -497,6 +497,3 @@ def clade_support(root: Node, supports: dict[frozenset, float]) -> Node:
     for side, node in split_sets(root).items():
         node.support = supports.get(side, 0.0)
     return root
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("mrca",)]
