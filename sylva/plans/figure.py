@@ -323,7 +323,7 @@ class TreeFigure:
         return self.add(lambda placed: branches(placed, self.stroke, **options))
 
     def scene(self) -> DataFrame:
-        placed = self.placed()
+        placed = self.placed().persist()  # every element reads it
         return reduce(DataFrame.unionByName, [branches(placed, self.stroke)] + [e(placed) for e in self.elements])
 
     def save(self, path: str) -> None:
