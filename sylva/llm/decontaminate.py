@@ -18,7 +18,8 @@ Hot passages make one row a document and start, whatever the number of shingles
 
 Edge cases: null and empty texts match nothing and are clean; texts and items shorter than k
 words have one shingle, the whole; an empty benchmark leaves all clean; repeated rows and null
-ids stay as they are, and rows with one doc_id share its verdict; null items are ignored.
+ids stay as they are; each row is judged by its own text, whatever its doc_id, so a row is named by
+its id and a hash of its text; null items are ignored.
 """
 
 from __future__ import annotations
@@ -54,14 +55,23 @@ def blocks_sql(radius: int, column: str) -> str:
     return "array(" + ", ".join(f"struct({i} AS block, shiftrightunsigned({column}, {lo}) & {(1 << (hi - lo)) - 1}L AS bits)" for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))) + ")"
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 20, block_shingles: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, start, similarity): the windows that hold a benchmark item; start counts words from 0."""
+def _digest(text_col: str):
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, start, similarity): the windows that hold a benchmark item; start counts words from 0.  Options are those of _leaks."""
+    return _leaks(documents, benchmark, **options).drop("digest")
+
+
+def _leaks(documents: DataFrame, benchmark: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 20, block_shingles: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """leaks with the hash of the row's text (digest); windows of rows that share id and text are one."""
     spark = documents.sparkSession
     path = _store.work_dir(spark, "leaks")
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     items = items.filter("text is not null").select("item_id", F.expr(shingle_sql(k)).alias("s")).filter("size(s) > 0").withColumn("item", F.monotonically_increasing_id())
     items = _store.saved(items.select("item", "item_id", "s", F.expr(SIMHASH).alias("f"), F.size("s").alias("m")), f"{path}/items")
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").select("doc_id", F.expr(shingle_sql(k)).alias("s"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").select("doc_id", F.expr(shingle_sql(k)).alias("s"), "text")
     total = items.agg(F.sum("m")).first()[0] or 0
     n_blocks = -(-total // block_shingles)
     found = None
@@ -71,32 +81,32 @@ def leaks(documents: DataFrame, benchmark: DataFrame, k: int = 5, similarity: fl
         literals = ",".join(f"{r.x}L" if r.x != -(2**63) else "(-9223372036854775807L - 1L)" for r in wanted.collect())  # at most about block_shingles
         if not literals:
             continue
-        hit = docs.select("doc_id", "s", F.expr(f"filter(transform(s, (x, i) -> IF(x IN ({literals}), i, -1)), i -> i >= 0)").alias("hits")).filter("size(hits) > 0")
+        hit = docs.select("doc_id", F.xxhash64("text").alias("digest"), "s", F.expr(f"filter(transform(s, (x, i) -> IF(x IN ({literals}), i, -1)), i -> i >= 0)").alias("hits")).filter("size(hits) > 0")
         hit = _store.saved(hit.withColumn("row", F.monotonically_increasing_id()), f"{path}/hit{block}")
         places = own.select("item", "m", F.posexplode("s").alias("off", "x"))
         starts = hit.select("row", F.expr("explode(transform(hits, i -> struct(i AS at, s[i] AS x)))").alias("h")).select("row", "h.at", "h.x")
         starts = starts.join(F.broadcast(places), "x").select("row", "item", "m", (F.col("at") - F.col("off")).alias("start")).distinct()
-        windows = starts.join(hit.select("row", "doc_id", "s"), "row").select("doc_id", "item", "m", "start", F.expr("slice(s, greatest(start, 0) + 1, least(m, m + start))").alias("s"))
-        windows = windows.select("doc_id", "item", "m", "start", "s", F.expr(SIMHASH).alias("g"))
+        windows = starts.join(hit.select("row", "doc_id", "digest", "s"), "row").select("doc_id", "digest", "item", "m", "start", F.expr("slice(s, greatest(start, 0) + 1, least(m, m + start))").alias("s"))
+        windows = windows.select("doc_id", "digest", "item", "m", "start", "s", F.expr(SIMHASH).alias("g"))
         index = own.select("m", "item", "item_id", "f", F.col("s").alias("item_s"), F.explode(F.expr(blocks_sql(radius, "f"))).alias("b")).select("m", "item", "item_id", "f", "item_s", "b.block", "b.bits")
-        near = windows.select("doc_id", "start", "m", "s", "g", F.explode(F.expr(blocks_sql(radius, "g"))).alias("b")).select("doc_id", "start", "m", "s", "g", "b.block", "b.bits")
+        near = windows.select("doc_id", "digest", "start", "m", "s", "g", F.explode(F.expr(blocks_sql(radius, "g"))).alias("b")).select("doc_id", "digest", "start", "m", "s", "g", "b.block", "b.bits")
         near = near.join(F.broadcast(index), ["m", "block", "bits"]).filter(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
-        near = near.dropDuplicates(["doc_id", "item", "start"]).select("doc_id", "item_id", "start", F.expr(SIMILARITY).alias("similarity")).filter(F.col("similarity") >= similarity)
+        near = near.dropDuplicates(["doc_id", "digest", "item", "start"]).select("doc_id", "digest", "item_id", "start", F.expr(SIMILARITY).alias("similarity")).filter(F.col("similarity") >= similarity)
         near = _store.saved(near, f"{path}/near{block}")
         _store.remove(spark, f"{path}/hit{block}")
         found = near if found is None else found.union(near)
-    return found if found is not None else spark.createDataFrame([], "doc_id long, item_id long, start int, similarity double")
+    return found if found is not None else spark.createDataFrame([], "doc_id long, digest long, item_id long, start int, similarity double")
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, contaminated, kept, n_items, n_windows, similarity), a row for each row of documents; kept: not contaminated."""
-    found = leaks(documents, benchmark, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.count_distinct("item_id").alias("n_items"), F.count("*").alias("n_windows"), F.max("similarity").alias("similarity"))
-    ids = documents.select(F.col(id_col).cast("long").alias("doc_id"))
-    out = ids.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    found = _leaks(documents, benchmark, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count_distinct("item_id").alias("n_items"), F.count("*").alias("n_windows"), F.max("similarity").alias("similarity"))
+    ids = documents.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text_col).alias("digest"))
+    out = ids.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     return out.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.col("n_items").isNull().alias("kept"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item."""
-    bad = leaks(documents, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return documents.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    bad = _leaks(documents, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest")).distinct()
+    return documents.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (_digest(text_col) == F.col("_bad_digest")), "left_anti")

@@ -178,19 +178,27 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 4000, max_byt
 
 def score(documents: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score), a row for each row of documents."""
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.mapInArrow(_scorer(net, ["doc_id"]), "doc_id long, score double")
+
+
+def _scorer(net: ByteConvNet, names: list[str]):
+    """mapInArrow function: the columns named, and the score of the text."""
 
     def run(batches):
         for whole in batches:
             for batch in _text.pieces(whole, "text"):
                 buf, at = _text.utf8(batch.column("text"))
                 pooled = np.array([net.pooled(buf[a:b]) for a, b in zip(at, at[1:])]).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(net.scores(pooled) if batch.num_rows else np.zeros(0))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(net.scores(pooled) if batch.num_rows else np.zeros(0))], [*names, "score"])
 
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return run
 
 
 def keep_good(documents: DataFrame, net: ByteConvNet, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that score threshold or more; rows with one id go together."""
-    bad = score(documents, net, id_col, text_col).filter(F.col("score") < threshold).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return documents.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    """The documents, with all their columns, that score threshold or more; each row by its own text, whatever its id."""
+    text = F.col(text_col).cast("string")
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    scored = docs.mapInArrow(_scorer(net, ["doc_id", "digest"]), "doc_id long, digest long, score double")
+    bad = scored.filter(F.col("score") < threshold).select(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest")).distinct()
+    return documents.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text) == F.col("_bad_digest")), "left_anti")
