@@ -1,6 +1,8 @@
 """Rows that share a doc_id, or have none, are judged and mixed each by itself."""
 
+import inspect
 from collections import Counter
+from math import comb
 
 from sylva.llm import decontaminate, quality_cnn
 
@@ -33,3 +35,12 @@ def test_bad_row_does_not_take_others_with_its_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = quality_cnn.keep_good(docs, Net())
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(r for r in rows if r[1].startswith("good"))
+
+
+def test_default_radius_misses_few_pairs_at_the_threshold():
+    radius = inspect.signature(decontaminate._leaks).parameters["radius"].default
+    for m, shared in ((9, 8), (36, 32), (180, 160)):  # similarity 0.8
+        own, other = ([comb(n, i) / 2**n for i in range(n + 1)] for n in (shared, m - shared))
+        set_bit = [sum(x for i, x in enumerate(other) if 2 * (c + i) > m) for c in range(shared + 1)]
+        p = sum(w * 2 * q * (1 - q) for w, q in zip(own, set_bit))
+        assert sum(comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(radius + 1, 65)) < 1e-5
