@@ -107,14 +107,19 @@ def _knapsack(lengths: np.ndarray, there: np.ndarray, budget: int) -> np.ndarray
 
 
 def sized(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"))
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"))
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, seed: int = 17, cells: int = 1024, **columns: str) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken), a row for each row of documents."""
+    return _mix(documents, weights, percent, most, seed, cells, [], **columns).drop("source")
+
+
+def _mix(documents: DataFrame, weights: tuple[int, ...], percent: int, most: int, seed: int, cells: int, more: list[str], **columns: str) -> DataFrame:
+    """mix with the source; more: ["digest"] adds a hash of the text."""
     spark = documents.sparkSession
     path = _store.work_dir(spark, "mix")
-    docs = _store.saved(sized(documents, **columns).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("cell", F.pmod("h", F.lit(cells)).cast("int")), f"{path}/sized")
+    docs = _store.saved(sized(documents, **columns).select("doc_id", "source", "size", *more).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("cell", F.pmod("h", F.lit(cells)).cast("int")), f"{path}/sized")
     by_cell = _store.saved(docs.groupBy("source", "size", "cell").agg(F.count("*").alias("n")), f"{path}/cells")
     histogram = by_cell.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sizes = {r.source: r.words for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}  # a row a source
@@ -134,17 +139,32 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int
     upto = by_cell.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     cut = upto.join(here, same("source", "_s") & (F.col("size") == F.col("_n"))).select(F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("cell").alias("_c"), "rounds", F.greatest(F.least(F.col("extra") - F.col("before"), F.col("n")), F.lit(0)).alias("from_cell"), "n")
     cut = _store.saved(cut, f"{path}/cut")
-    placed = docs.join(cut, same("source", "_s") & (F.col("size") == F.col("_n")) & (F.col("cell") == F.col("_c"))).select("doc_id", "source", "size", "cell", "h", "rounds", "from_cell", "n")
-    sure = placed.filter("from_cell = 0 or from_cell = n").select("doc_id", "source", "size", (F.col("rounds") + (F.col("from_cell") > 0).cast("long")).alias("copies"))
+    placed = docs.join(cut, same("source", "_s") & (F.col("size") == F.col("_n")) & (F.col("cell") == F.col("_c"))).select("doc_id", "source", "size", "cell", "h", "rounds", "from_cell", "n", *more)
+    sure = placed.filter("from_cell = 0 or from_cell = n").select("doc_id", "source", "size", *more, (F.col("rounds") + (F.col("from_cell") > 0).cast("long")).alias("copies"))
     rank = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("h", "doc_id"))
-    ranked = placed.filter("from_cell > 0 and from_cell < n").withColumn("k", rank).select("doc_id", "source", "size", (F.col("rounds") + (F.col("k") <= F.col("from_cell")).cast("long")).alias("copies"))
+    ranked = placed.filter("from_cell > 0 and from_cell < n").withColumn("k", rank).select("doc_id", "source", "size", *more, (F.col("rounds") + (F.col("k") <= F.col("from_cell")).cast("long")).alias("copies"))
     out = sure.union(ranked).join(F.broadcast(known.withColumnRenamed("source", "_s")) if len(sizes) <= 10_000 else known.withColumnRenamed("source", "_s"), same("source", "_s"))
-    return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).cast("int").alias("copies"), F.when(F.col("size") > 0, F.col("copies") * F.col("size")).otherwise(0).alias("taken"))
+    return out.select("doc_id", "source", *more, "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).cast("int").alias("copies"), F.when(F.col("size") > 0, F.col("copies") * F.col("size")).otherwise(0).alias("taken"))
+
 
+def mixed(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, seed: int = 17, cells: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: documents with all their columns, each as often as it is taken.
 
-def mixed(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: documents with all their columns, each as often as it is taken."""
-    plan = mix(documents, id_col=id_col, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_copies"))
-    rows = documents.join(plan, F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")))
+    Rows are named by id, source and a hash of the text.  Rows that share all three have one size, so their
+    copies differ by at most one; where they do differ, those few rows are numbered and the first get one more.
+    """
+    spark = documents.sparkSession
+    plan = _mix(documents, weights, percent, most, seed, cells, ["digest"], id_col=id_col, text_col=text_col, source_col=source_col)
+    plan = plan.groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("digest").alias("_mix_digest"))
+    plan = plan.agg(F.min("copies").alias("_low"), F.max("copies").alias("_high"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("_more")).filter("_high > 0")
+    plan = _store.saved(plan, f"{_store.work_dir(spark, 'mixed')}/plan")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_mix_digest"))
     names = [f"`{c}`" for c in documents.columns]
-    return rows.withColumn("_copy", F.expr("explode(sequence(1, _copies))")).select(*names)
+    out = documents.join(plan.filter("_low = _high"), same).withColumn("_copies", F.col("_low")).select(*names, "_copies")
+    uneven = plan.filter("_low < _high")
+    if not uneven.isEmpty():
+        number = F.row_number().over(Window.partitionBy("_mix_id", "_mix_source", "_mix_digest").orderBy("_mix_digest"))
+        rows = documents.join(uneven, same).withColumn("_number", number)
+        rows = rows.withColumn("_copies", F.col("_low") + (F.col("_number") <= F.col("_more")).cast("int")).filter("_copies > 0")
+        out = out.union(rows.select(*names, "_copies"))
+    return out.withColumn("_copy", F.expr("explode(sequence(1, _copies))")).select(*names)

@@ -4,7 +4,7 @@ import inspect
 from collections import Counter
 from math import comb
 
-from sylva.llm import decontaminate, quality_cnn
+from sylva.llm import decontaminate, mix_budget, quality_cnn
 
 WORDS = [f"w{i}" for i in range(30)]
 
@@ -44,3 +44,14 @@ def test_default_radius_misses_few_pairs_at_the_threshold():
         set_bit = [sum(x for i, x in enumerate(other) if 2 * (c + i) > m) for c in range(shared + 1)]
         p = sum(w * 2 * q * (1 - q) for w, q in zip(own, set_bit))
         assert sum(comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(radius + 1, 65)) < 1e-5
+
+
+def test_mix_takes_rows_with_one_id_as_planned(spark):
+    text = lambda n: " ".join(WORDS[:n])
+    rows = [(None, text(3 + i % 5), "abc"[i % 3]) for i in range(40)] + [(5, text(4), "a")] * 9 + [(5, "", "b"), (None, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = Counter()
+    for r in mix_budget._mix(docs, (3, 1, 2), 150, 2, 17, 1024, []).collect():
+        planned[r.doc_id, r.source, r.size] += r.copies
+    got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mix_budget.mixed(docs).collect())
+    assert got == +planned
