@@ -72,12 +72,14 @@ def mutation_matrix(table: DataFrame, taxa_col: str | None = None, wild_type: st
 
 def allele_table(table: DataFrame, cell_col: str = "cellBC", intbc_col: str = "intBC", site_cols: tuple[str, ...] = ("r1", "r2", "r3"), missing_markers: tuple[str, ...] = ("NC",)) -> DataFrame:
     """One character for each target and site: the edit in brackets, [None] ancestral (0), missing where a
-    cell lacks the target.  Rows that repeat a cell and target must agree."""
+    cell lacks the target.  Rows that repeat a cell and target must agree: one aggregate looks for those that
+    do not before the plan is made, and a ValueError names one."""
     key = [F.col(cell_col).alias("name"), F.col(intbc_col).alias("target")]
     t = table.select(*key, *[F.col(c).cast("string").alias(c) for c in site_cols])
     agree = t.groupBy("name", "target").agg(F.max(F.struct(*site_cols)).alias("a"), F.min(F.struct(*site_cols)).alias("b"))
-    fine = F.assert_true(F.col("a") == F.col("b"), F.lit("rows of a cell and target disagree")).isNull()
-    long = agree.filter(fine).select("name", "target", "a.*").unpivot(["name", "target"], list(site_cols), "site", "value")
+    if (odd := agree.filter(~F.col("a").eqNullSafe(F.col("b"))).select("name", "target").first()) is not None:
+        raise ValueError(f"rows of a cell and target disagree: {odd.name}, {odd.target}")
+    long = agree.select("name", "target", "a.*").unpivot(["name", "target"], list(site_cols), "site", "value")
     edit = F.array_join(F.expr(r"regexp_extract_all(value, '\\[([^\\]]*)\\]', 1)"), "|")
     edit = F.when(F.col("value").isNull() | F.col("value").isin(*missing_markers), None).when(edit == "", F.col("value")).otherwise(edit)
     long = long.select("name", F.concat_ws("|", "target", "site").alias("character"), edit.alias("state"))
