@@ -1,25 +1,33 @@
 """Mixing sources to target weights by fitting each source's budget as a subset sum.
 
-A source's documents are counted by exact length.  Whole rounds take every document; for the rest
-of the budget each length gives its share of documents, rounded down, and a bounded knapsack over
-the lengths still there fills what remains.  Which documents of a length are taken is decided by a
-seeded hash, so reruns agree.
-
-Scale.  Lengths are counted with partial aggregation; the driver holds one row a source, and each
-source's histogram (one row a distinct length) is fitted in a task of its own.  Documents of a
-length are not ranked against each other: their hashes fall in ``cells`` equal ranges, whole
-ranges are taken by count, and only the one range in which the count is reached is ranked, so a
-length or a source that holds a third of all rows is nowhere gathered in one task.
+A source's documents are counted by exact length.  Whole rounds take every document; the rest of the
+budget takes the same share of every length: counts are rounded by a systematic draw over the sorted
+lengths with a seeded start, so that any stretch of lengths gets its share to within one document and
+what is left of the budget is at most about the longest document.  Eight documents drawn by the seed are
+given back, and a bounded knapsack over the documents not taken, in seeded order, fills what is left.
+Which documents of a length are taken is decided by a seeded hash, so reruns agree.
+
+Scale.  Lengths are counted with partial aggregation; each source's histogram (one row a distinct
+length) is fitted in a task of its own, by a table of sums as wide as the source's longest document.
+Sources are numbered, weighed and given their targets by aggregates of one row, however many there are.
+Documents of a length are not ranked against each other: their hashes fall in ``cells`` equal ranges,
+whole ranges are counted, and only the range in which the count is reached is ranked, which gives a
+threshold; a document is then taken by comparing its own hash with it, so neither texts nor rows are
+exchanged when the thresholds (a row a source and length) are few enough to be broadcast (``small``).
+A length or a source that holds a third of all rows is nowhere gathered in one task.
 
 Edge cases: null and empty texts have size 0 and are never taken; a null source is a source of its
-own, last in order; ties of hash fall back to the id and the copy's number; rows that repeat a
-doc_id are mixed as documents of their own; an empty table gives an empty result; a source with
-only empty documents gets target 0; other columns, whatever their names, stay out of the way.
+own, last in order; rows are documents of their own whatever their doc_id: the hash runs over id, source
+and text, and rows that share all three are counted, not ranked, so that just as many of them are taken
+as the plan says (which of several that differ in other columns: by a hash of these); an empty table gives
+an empty result; a source with only empty documents gets target 0; other columns, whatever their names,
+stay out of the way.
 """
 
 from __future__ import annotations
 
 from itertools import cycle
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -49,122 +57,170 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (3, 1, 2),
     return out
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = 2, widest: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """(rounds, extra): every document is taken ``rounds`` times, and extra[i] of length i once more.
-
-    The knapsack runs over a budget of at most ``widest`` words; shares rounded down leave less
-    than one document of each length, so beyond that the longest lengths fill first.
-    """
+def fit(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = 2, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """(rounds, extra): every document is taken ``rounds`` times, and extra[i] of length i once more."""
     order = np.argsort(lengths, kind="stable")
     lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     extra, whole = np.zeros(len(lengths), np.int64), int(lengths @ counts)
     rounds = min(most, int(target // whole)) if whole else 0
     goal = 0 if rounds >= most or not whole else int(round(target - rounds * whole))
     if goal > 0:
-        share = goal / whole
-        extra = np.floor(counts * share).astype(np.int64)
-        # the knapsack needs some freedom: give back a few of the smallest lengths' documents
-        left = goal - int(lengths @ extra)
-        for i in range(len(lengths) - 1, -1, -1):
-            if left <= widest:
-                break
-            n = min(int(counts[i] - extra[i]), (left - widest) // int(lengths[i]) + 1 if lengths[i] else 0, left // int(lengths[i]) if lengths[i] else 0)
-            extra[i] += n
-            left -= n * int(lengths[i])
-        extra += _knapsack(lengths, np.where(lengths > 0, counts - extra, 0), left)
+        rng = np.random.default_rng([seed, whole, goal])
+        there = np.where(lengths > 0, counts, 0)
+        upto = np.floor(np.concatenate(([0], np.cumsum(there))) * (goal / whole) + rng.random()).astype(np.int64)
+        extra = np.minimum(np.diff(upto), there)
+        while (over := int(lengths @ extra) - goal) > 0:  # at most about the longest document: give back one that covers it
+            held = np.flatnonzero(extra)
+            extra[held[min(np.searchsorted(lengths[held], over), len(held) - 1)]] -= 1
+        for i in rng.permutation(np.flatnonzero(extra))[:8]:  # some freedom for the knapsack
+            extra[i] -= 1
+        extra += _knapsack(lengths, there - extra, goal - int(lengths @ extra), rng.permutation(len(lengths)))
     out = np.zeros(len(order), np.int64)
     out[order] = extra
     return np.int64(rounds), out
 
 
-def _knapsack(lengths: np.ndarray, there: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: how many of each length sum up to the most that is not above budget."""
+def _knapsack(lengths: np.ndarray, there: np.ndarray, budget: int, order: np.ndarray) -> np.ndarray:
+    """Bounded knapsack: how many of each length sum up to the most that is not above budget; lengths come in the order given."""
     taken = np.zeros(len(lengths), np.int64)
-    if budget <= 0:
-        return taken
     parts = []  # (length index, how many): counts in binary pieces
-    for i in range(len(lengths) - 1, -1, -1):
-        n, piece = min(int(there[i]), budget // max(1, int(lengths[i]))), 1
+    for i in order:
+        n, piece = min(int(there[i]), budget // int(lengths[i])) if lengths[i] else 0, 1
         while n > 0:
             parts.append((i, min(piece, n)))
             n -= piece
             piece *= 2
-    via = np.full(budget + 1, -1, np.int32)  # the piece by which a sum was first reached
+    if not parts:
+        return taken
+    step = gcd(*(int(lengths[i]) for i, _ in parts))
+    best = budget // step  # no sum can come nearer to the budget
+    via = np.full(best + 1, -1, np.int32)  # the piece by which a sum was first reached, in units of step
     via[0] = -2
     for k, (i, n) in enumerate(parts):
-        step = int(lengths[i]) * n
-        if step <= budget:
-            new = (via[: budget + 1 - step] != -1) & (via[step:] == -1)
-            via[step:][new] = k
-            if via[budget] != -1:
+        by = int(lengths[i]) // step * n
+        if by <= best:
+            new = (via[: best + 1 - by] != -1) & (via[by:] == -1)
+            via[by:][new] = k
+            if via[best] != -1:
                 break
     at = int(np.flatnonzero(via != -1)[-1])
     while at > 0:
         i, n = parts[via[at]]
         taken[i] += n
-        at -= int(lengths[i]) * n
+        at -= int(lengths[i]) // step * n
     return taken
 
 
-def sized(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"))
+def _keyed(documents: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> dict:
+    """Columns (doc_id, source, size, h) of a row of documents."""
+    i, text, source = F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(source_col).cast("string")
+    h = F.xxhash64(F.lit(seed), i, source, text)
+    return {"doc_id": i, "source": source, "size": F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long"), "h": h}
+
+
+def _sources(histogram: DataFrame, weights: tuple[int, ...], percent: int, most: int, path: str) -> DataFrame:
+    """(source, source_size, target): as targets(), with one row of sums at a time on the driver."""
+    spark = histogram.sparkSession
+    words = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    order = [F.col("source").isNull(), F.col("source")]
+    words = _store.saved(words.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), f"{path}/words")
+    before, offsets = 0, []
+    for r in sorted(words.groupBy("part").agg(F.count("*").alias("n")).collect()):  # a row a partition
+        offsets.append((r.part, before))
+        before += r.n
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + F.col("before")
+    kinds = F.array(*[F.lit(w) for w in weights])
+    words = words.join(F.broadcast(spark.createDataFrame(offsets, "part int, before long")), "part").withColumn("weight", F.element_at(kinds, (place % len(weights) + 1).cast("int")))
+    words = _store.saved(words.select("source", "source_size", "weight"), f"{path}/weighed")
+    total, whole, capped = words.agg(F.sum("source_size"), F.sum("weight")).first() + (0,)
+    left = (total or 0) * percent / 100
+    share = lambda: F.lit(float(left)) * F.col("weight") / F.lit(float(whole or 1))
+    while True:  # shares only grow, so that a source once above its bound stays there
+        over = share() > most * F.col("source_size")
+        n, full, rest = words.agg(F.count_if(over), F.sum(F.when(over, F.col("source_size"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == capped:
+            return words.select("source", "source_size", F.when(over, (most * F.col("source_size")).cast("double")).otherwise(share()).alias("target"))
+        if rest is None:  # all are at their bound
+            return words.select("source", "source_size", (most * F.col("source_size")).cast("double").alias("target"))
+        left, whole, capped = (total or 0) * percent / 100 - most * full, rest, n
+
+
+def _plan(documents: DataFrame, weights: tuple[int, ...], percent: int, most: int, seed: int, cells: int, path: str, **columns: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(rows, thresholds): (doc_id, source, size, h) of every row, and for each source and length
+    (source_size, target, rounds, t, more, same): rows with h < t are taken once more, and ``more`` of the ``same`` rows with h = t."""
+    if cells & (cells - 1) or cells < 2:
+        raise ValueError("cells must be a power of two")
+    cell = F.shiftright("h", 64 - (cells.bit_length() - 1)).cast("int")
+    rows = _store.saved(documents.select(*[c.alias(n) for n, c in _keyed(documents, seed, **columns).items()]), f"{path}/rows")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    celled = rows.withColumn("cell", cell)
+    by_cell = _store.saved(celled.groupBy("source", "size", "cell").agg(F.count("*").alias("n")), f"{path}/cells")
+    histogram = by_cell.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    known = _store.saved(_sources(histogram, weights, percent, most, path).withColumnRenamed("source", "_s"), f"{path}/known")
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        rounds, extra = fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0]), most, seed)
+        return pd.DataFrame({"has_source": pdf["source"].notna(), "source": pdf["source"], "size": pdf["size"], "source_size": pdf["source_size"], "target": pdf["target"], "rounds": rounds, "extra": extra})
+
+    plan = histogram.join(known, same("source", "_s")).drop("_s").groupBy("source").applyInPandas(fitted, "has_source boolean, source string, size long, source_size long, target double, rounds long, extra long")
+    plan = _store.saved(plan.withColumn("_s", F.when(F.col("has_source"), F.col("source"))).drop("has_source", "source").withColumnRenamed("size", "_n"), f"{path}/plan")
 
+    # the cell in which a count is reached, then the hash in it
+    on = same("source", "_s") & (F.col("size") == F.col("_n"))
+    some = plan.filter("extra > 0").select("_s", "_n", "extra")
+    upto = by_cell.withColumn("before", F.sum("n").over(Window.partitionBy("source", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    cut = upto.join(some, on).filter("before < extra and extra <= before + n").select("_s", "_n", F.col("cell").alias("_c"), (F.col("extra") - F.col("before")).alias("of_cell"))
+    tied = celled.join(cut, on & (F.col("cell") == F.col("_c"))).groupBy("_s", "_n", "of_cell", "h").agg(F.count("*").alias("same"))
+    before = F.sum("same").over(Window.partitionBy("_s", "_n").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("same")
+    at = tied.withColumn("before", before).filter("before < of_cell and of_cell <= before + same").select(F.col("_s").alias("_s2"), F.col("_n").alias("_n2"), F.col("h").alias("t"), (F.col("of_cell") - F.col("before")).alias("more"), "same")
+    thresholds = plan.join(at, same("_s", "_s2") & (F.col("_n") == F.col("_n2")), "left").select("_s", "_n", "source_size", "target", F.when(F.col("_n") > 0, F.col("rounds")).otherwise(0).alias("rounds"), "t", "more", "same")
+    return rows, _store.saved(thresholds, f"{path}/thresholds")
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, seed: int = 17, cells: int = 1024, **columns: str) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken), a row for each row of documents."""
-    return _mix(documents, weights, percent, most, seed, cells, [], **columns).drop("source")
 
+#: Times a row is taken, but for rows at a threshold that only some of them pass.
+_COPIES = "CAST(rounds + CASE WHEN h < t OR (h = t AND more = same) THEN 1 ELSE 0 END AS INT)"
+_SPLIT = "t IS NOT NULL AND h = t AND more < same"
 
-def _mix(documents: DataFrame, weights: tuple[int, ...], percent: int, most: int, seed: int, cells: int, more: list[str], **columns: str) -> DataFrame:
-    """mix with the source; more: ["digest"] adds a hash of the text."""
-    spark = documents.sparkSession
-    path = _store.work_dir(spark, "mix")
-    docs = _store.saved(sized(documents, **columns).select("doc_id", "source", "size", *more).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("cell", F.pmod("h", F.lit(cells)).cast("int")), f"{path}/sized")
-    by_cell = _store.saved(docs.groupBy("source", "size", "cell").agg(F.count("*").alias("n")), f"{path}/cells")
-    histogram = by_cell.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    sizes = {r.source: r.words for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}  # a row a source
-    goal = targets(sizes, weights, percent, most)
-    known = spark.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes], "source string, source_size long, target double")
 
-    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        rounds, extra = fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), float(pdf["target"].iloc[0]), most)
-        return pd.DataFrame({"has_source": pdf["source"].notna(), "source": pdf["source"], "size": pdf["size"], "rounds": rounds, "extra": extra})
+def _side(thresholds: DataFrame, small: int) -> DataFrame:
+    """Thresholds, broadcast if they are few: some 60 bytes a row."""
+    return F.broadcast(thresholds) if thresholds.count() <= small else thresholds
 
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    plan = histogram.join(known.withColumnRenamed("source", "_s"), same("source", "_s")).drop("_s").groupBy("source").applyInPandas(fitted, "has_source boolean, source string, size long, rounds long, extra long")
-    plan = _store.saved(plan.withColumn("source", F.when(F.col("has_source"), F.col("source"))).drop("has_source"), f"{path}/plan")
-
-    # whole cells by running count; the cell in which the count is reached is ranked
-    here = plan.select(F.col("source").alias("_s"), F.col("size").alias("_n"), "rounds", "extra")
-    upto = by_cell.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    cut = upto.join(here, same("source", "_s") & (F.col("size") == F.col("_n"))).select(F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("cell").alias("_c"), "rounds", F.greatest(F.least(F.col("extra") - F.col("before"), F.col("n")), F.lit(0)).alias("from_cell"), "n")
-    cut = _store.saved(cut, f"{path}/cut")
-    placed = docs.join(cut, same("source", "_s") & (F.col("size") == F.col("_n")) & (F.col("cell") == F.col("_c"))).select("doc_id", "source", "size", "cell", "h", "rounds", "from_cell", "n", *more)
-    sure = placed.filter("from_cell = 0 or from_cell = n").select("doc_id", "source", "size", *more, (F.col("rounds") + (F.col("from_cell") > 0).cast("long")).alias("copies"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("h", "doc_id"))
-    ranked = placed.filter("from_cell > 0 and from_cell < n").withColumn("k", rank).select("doc_id", "source", "size", *more, (F.col("rounds") + (F.col("k") <= F.col("from_cell")).cast("long")).alias("copies"))
-    out = sure.union(ranked).join(F.broadcast(known.withColumnRenamed("source", "_s")) if len(sizes) <= 10_000 else known.withColumnRenamed("source", "_s"), same("source", "_s"))
-    return out.select("doc_id", "source", *more, "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).cast("int").alias("copies"), F.when(F.col("size") > 0, F.col("copies") * F.col("size")).otherwise(0).alias("taken"))
-
-
-def mixed(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, seed: int = 17, cells: int = 1024, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: documents with all their columns, each as often as it is taken.
-
-    Rows are named by id, source and a hash of the text.  Rows that share all three have one size, so their
-    copies differ by at most one; where they do differ, those few rows are numbered and the first get one more.
-    """
-    spark = documents.sparkSession
-    plan = _mix(documents, weights, percent, most, seed, cells, ["digest"], id_col=id_col, text_col=text_col, source_col=source_col)
-    plan = plan.groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("digest").alias("_mix_digest"))
-    plan = plan.agg(F.min("copies").alias("_low"), F.max("copies").alias("_high"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("_more")).filter("_high > 0")
-    plan = _store.saved(plan, f"{_store.work_dir(spark, 'mixed')}/plan")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_mix_digest"))
-    names = [f"`{c}`" for c in documents.columns]
-    out = documents.join(plan.filter("_low = _high"), same).withColumn("_copies", F.col("_low")).select(*names, "_copies")
-    uneven = plan.filter("_low < _high")
-    if not uneven.isEmpty():
-        number = F.row_number().over(Window.partitionBy("_mix_id", "_mix_source", "_mix_digest").orderBy("_mix_digest"))
-        rows = documents.join(uneven, same).withColumn("_number", number)
-        rows = rows.withColumn("_copies", F.col("_low") + (F.col("_number") <= F.col("_more")).cast("int")).filter("_copies > 0")
-        out = out.union(rows.select(*names, "_copies"))
-    return out.withColumn("_copy", F.expr("explode(sequence(1, _copies))")).select(*names)
+
+def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, seed: int = 17, cells: int = 4096, small: int = 400_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken), a row for each row of documents."""
+    return _mix(documents, weights, percent, most, seed, cells, small, id_col=id_col, text_col=text_col, source_col=source_col).drop("source")
+
+
+def _mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, seed: int = 17, cells: int = 4096, small: int = 400_000, **columns: str) -> DataFrame:
+    """mix with the source."""
+    path = _store.work_dir(documents.sparkSession, "mix")
+    columns = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | columns
+    rows, thresholds = _plan(documents, weights, percent, most, seed, cells, path, **columns)
+    placed = rows.join(_side(thresholds, small), F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n")))
+    out = ["doc_id", "source", "size", "source_size", "target"]
+    sure = placed.filter(f"NOT ({_SPLIT})").select(*out, F.expr(_COPIES).alias("copies"))
+    # rows alike in id, source and text of which only some are taken once more: counted, then written out again
+    alike = placed.filter(_SPLIT).groupBy(*out, "rounds", "more").agg(F.count("*").alias("n"))
+    alike = alike.select(*out, "rounds", "more", F.expr("explode(sequence(1L, n))").alias("k")).select(*out, F.expr("CAST(rounds + CASE WHEN k <= more THEN 1 ELSE 0 END AS INT)").alias("copies"))
+    return sure.union(alike).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2, seed: int = 17, cells: int = 4096, small: int = 400_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: documents with all their columns, each as often as it is taken."""
+    path = _store.work_dir(documents.sparkSession, "mixed")
+    columns = {"id_col": id_col, "text_col": text_col, "source_col": source_col}
+    _, thresholds = _plan(documents, weights, percent, most, seed, cells, path, **columns)
+    names = documents.columns
+    key = _keyed(documents, seed, **columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc")
+    rows = documents.select(whole, key["source"].alias("source"), key["size"].alias("size"), key["h"].alias("h"))
+    placed = rows.join(_side(thresholds, small), F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n")))
+    sure = placed.filter(f"NOT ({_SPLIT})").select("doc", F.expr(_COPIES).alias("copies"))
+    out = [sure.filter("copies > 0").select("doc", F.expr("explode(sequence(1, copies))")).select("doc")]
+    if not thresholds.filter("more < same").isEmpty():
+        alike = placed.filter(_SPLIT).groupBy("doc", "rounds", "more", "h").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("h").orderBy(F.xxhash64(F.to_json("doc")), F.to_json("doc")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+        times = alike.withColumn("before", before).select("doc", F.expr("n * rounds + greatest(least(more - before, n), 0L)").alias("copies"))
+        out.append(times.filter("copies > 0").select("doc", F.expr("explode(sequence(1L, copies))")).select("doc"))
+    return (out[0] if len(out) == 1 else out[0].union(out[1])).select(*[F.col(f"doc.`{c}`") for c in names])

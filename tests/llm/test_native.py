@@ -204,16 +204,71 @@ def test_targets():
     assert mix_budget.targets({"é": 0, "a": 10}) == {"a": 15.0, "é": 0.0}
 
 
+def test_targets_in_spark_are_the_plain_ones(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    for n, weights, percent in ((0, (3, 1, 2), 150), (1, (3, 1, 2), 150), (40, (3, 1, 2), 150), (7, (1, 5), 190), (5, (3, 1, 2), 250)):
+        sizes = {f"s{chr(945 + i)}{i % 3}": int(rng.integers(0, 5000)) for i in range(n)} | ({None: 70} if n > 1 else {})
+        frame = spark.createDataFrame([(s, w, 1) for s, w in sizes.items()], "source string, size long, n long").repartition(5)
+        got = {r.source: r.target for r in mix_budget._sources(frame, weights, percent, 2, f"file://{tmp_path}/{n}").collect()}
+        want = mix_budget.targets(sizes, weights, min(percent, 200))
+        assert got == {s: pytest.approx(t) for s, t in want.items()}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_budget_is_met(seed):
     rng = np.random.default_rng(seed)
     lengths = np.unique(rng.integers(1, 400, 60))
     counts = rng.integers(1, 9, len(lengths))
     for target in (0.0, 37.0, float(lengths @ counts) * 0.6, float(lengths @ counts) * 1.4, float(lengths @ counts) * 2):
-        for widest in (1 << 18, 500):
-            rounds, extra = mix_budget.fit(lengths, counts, target, widest=widest)
-            total = int(rounds * (lengths @ counts) + lengths @ extra)
-            assert (extra >= 0).all() and (extra <= counts).all() and total <= round(target) and round(target) - total <= 2
+        rounds, extra = mix_budget.fit(lengths, counts, target)
+        total = int(rounds * (lengths @ counts) + lengths @ extra)
+        assert (extra >= 0).all() and (extra <= counts).all() and total <= round(target) and round(target) - total <= 2
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_knapsack_against_all_subsets(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.unique(rng.integers(1, 60, 7)) * (3 if seed % 2 else 1)
+    there, budget = rng.integers(0, 4, len(lengths)), int(rng.integers(0, 160))
+    sums = {0}
+    for n, times in zip(lengths.tolist(), there.tolist()):
+        sums = {s + n * t for s in sums for t in range(times + 1)}
+    taken = mix_budget._knapsack(lengths, there, budget, rng.permutation(len(lengths)))
+    assert (taken <= there).all() and int(lengths @ taken) == max(s for s in sums if s <= budget)
+
+
+def test_the_fit_takes_the_same_share_of_short_and_long():
+    for n in (2_000, 20_000, 300_000):  # every length once: far more words than any table of sums
+        lengths = np.arange(1, n + 1)
+        rounds, extra = mix_budget.fit(lengths, np.ones(n, np.int64), 0.3 * lengths.sum())
+        assert rounds == 0 and all(abs(x.mean() - 0.3) < 0.01 for x in np.array_split(extra, 3)) and round(0.3 * int(lengths.sum())) == int(lengths @ extra)
+
+
+def test_the_mix_takes_the_same_share_of_short_and_long(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = mix_budget._mix(spark.read.parquet(f"{sf}/documents.parquet")).filter("size > 0").collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append((r["size"], r.copies))
+    for own in by.values():
+        own = np.array(sorted(own))
+        if len(own) < 90:
+            continue
+        share = own[:, 1].mean()
+        assert all(abs(x[:, 1].mean() - share) <= 0.1 * share + 0.02 for x in np.array_split(own, 3))
+
+
+def test_rows_alike_are_taken_as_often_as_planned(spark):
+    """Two kinds of rows, each many times: counts in the mix are the plan's, though no hash tells the rows apart."""
+    rows = [(7, "a b c d", "s", i % 2) for i in range(300)] + [(None, "a b", None, 0)] * 100 + [(8, "x " * 40, "t", 0)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kind int").repartition(6)
+    planned = Counter()
+    for r in mix_budget._mix(docs).collect():
+        planned[r.doc_id] += r.copies
+    out = mix_budget.mixed(docs).collect()
+    assert Counter(r.doc_id for r in out) == planned and sorted(out, key=str) == sorted(mix_budget.mixed(docs.repartition(3)).collect(), key=str)
+    goal = mix_budget.targets({"s": 1200, "t": 120, None: 200})
+    assert abs(planned[7] * 4 - goal["s"]) <= 4 and abs(planned[None] * 2 - goal[None]) <= 2 and abs(planned[8] * 40 - goal["t"]) <= 40
 
 
 def test_mix(spark, odd, none, odd_rows):

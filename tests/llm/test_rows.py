@@ -51,7 +51,7 @@ def test_mix_takes_rows_with_one_id_as_planned(spark):
     rows = [(None, text(3 + i % 5), "abc"[i % 3]) for i in range(40)] + [(5, text(4), "a")] * 9 + [(5, "", "b"), (None, None, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     planned = Counter()
-    for r in mix_budget._mix(docs, (3, 1, 2), 150, 2, 17, 1024, []).collect():
+    for r in mix_budget._mix(docs).collect():
         planned[r.doc_id, r.source, r.size] += r.copies
     got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mix_budget.mixed(docs).collect())
     assert got == +planned
