@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from sylva.llm import decontaminate, line_runs, mix_budget, odd_minhash, queries, rule_lists
+from sylva.llm import _skew, decontaminate, line_runs, mix_budget, odd_minhash, queries, rule_lists
 
 SF = "/root/testdata/sf0.001"
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -106,12 +106,32 @@ def test_lines_of_odd_rows(odd, none, odd_rows):
 def test_runs_level_up(spark, tmp_path):
     runs = line_runs.LineRuns(spark, f"file://{tmp_path}", fanout=2, buckets=2)
     for b in range(5):
-        runs.add(spark.createDataFrame([(k, k, 1, b) for k in (1, 10 + b)], "h1 long, h2 long, n_docs long, last long"))
+        runs.add(spark.createDataFrame([(k, k, 1, 100 - b) for k in (1, 10 + b)], "h1 long, h2 long, n_docs long, last long"))
         assert all(len(x) < 2 for x in runs.levels.values())
     assert sorted(runs.levels) == [0, 2]
     assert runs.unseen(spark.createDataFrame([(1, 1), (99, 99)], "h1 long, h2 long")).collect() == [(99, 99)]
     whole = {r.h1: (r.n_docs, r.last) for r in runs.compact().collect()}
-    assert whole == {1: (5, 4)} | {10 + b: (1, b) for b in range(5)}
+    assert whole == {1: (5, 100)} | {10 + b: (1, 100 - b) for b in range(5)}
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sylva_run_")] and not any(tmp_path.iterdir())
+
+
+@pytest.mark.parametrize("broken", [lambda self, batch: batch, lambda self, batch: batch.limit(0)])
+def test_lines_rest_on_the_anti_join(spark, monkeypatch, broken):
+    rows = [(i, "\n".join(["a line that all documents hold", f"a line of document {i} alone"] + ["a line of the first few documents"] * (i < 6))) for i in range(40)]
+    frame, right = spark.createDataFrame(rows, "doc_id long, text string"), plain_lines(rows)
+    verdict = lambda: sorted([(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in line_runs.dedup_lines(frame).collect()], key=str)
+    assert verdict() == right
+    monkeypatch.setattr(line_runs.LineRuns, "unseen", broken)
+    assert verdict() != right
+
+
+def test_heavy_keys_meet_all_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(_skew, "MOST", 4)
+    rows = [(k, i) for k, n in ((1, 50), (2, 3), (3, 1), (4, 1), (None, 2)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "k long, i long")
+    table = spark.createDataFrame([(1, 50, "a"), (2, 3, "b"), (3, 1, "c"), (9, 1, "z")], "k long, n long, v string")
+    assert sorted(tuple(r) for r in _skew.lookup(frame, table, ["k"], "n").select("k", "i", "v").collect()) == sorted((k, i, {1: "a", 2: "b", 3: "c"}[k]) for k, i in rows if k in (1, 2, 3))
 
 
 def brute_leaks(rows, items, k=5, least=0.8):
