@@ -1,6 +1,7 @@
 """Near-duplicates, lines, decontamination, rules and mixing against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -157,10 +158,24 @@ def test_leaks_against_brute_force(spark):
     swapped = list(long)
     swapped[30] = "changed"
     items += [(900, " ".join(long)), (901, "tiny item")]
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(60)]
+    for n in (9, 13, 30, 61):  # items of several sizes, some with repeated shingles; windows that are shuffled in pieces, cut, or changed here and there
+        own = [rng.choice(vocabulary) for _ in range(n)] if n < 30 else [f"q{n}_{i}" for i in range(n)]
+        own = own[: n // 2] * 2 if n == 13 else own
+        items.append((910 + n, " ".join(own)))
+        for j in range(24):
+            cut, w = rng.randrange(1, len(own)), list(own)
+            if j % 3 == 0:
+                w = w[cut:] + w[:cut]
+            for _ in range(j % 4):
+                w[rng.randrange(len(w))] = "other"
+            docs.append((2000 + 100 * n + j, " ".join(["pre"] * rng.randrange(5) + w[: len(w) - (j % 5 == 4)] + ["post"] * rng.randrange(5))))
     docs += [(900, "before " + " ".join(swapped) + " after"), (901, "Tiny  ITEM"), (902, " ".join(long[:58])), (903, " ".join(long[:40])), (904, None)]
     shape = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
-    for size in (20_000, 300):
-        got = decontaminate.leaks(shape(docs, "doc_id"), shape(items, "item_id"), block_shingles=size).collect()
+    assert len(brute_leaks(docs[-101:], items[-6:])) > 20
+    for size, small in ((20_000, 1_000_000), (3000, 0)):
+        got = decontaminate.leaks(shape(docs, "doc_id"), shape(items, "item_id"), block_shingles=size, small=small).collect()
         found = defaultdict(set)
         for r in got:
             found[r.doc_id].add(r.item_id)
