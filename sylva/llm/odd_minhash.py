@@ -3,23 +3,23 @@
 Each distinct shingle set is signed once.  MinHash samples are banded to find candidates and
 folded into a parity bitmap (an odd sketch); the XOR population count of two bitmaps estimates
 the similarity precisely where it is high.  Candidates that the estimate cannot rule out are
-confirmed on their full sets, and links are joined into components.
-
-Scale.  Equal sets are grouped first with partial aggregation, so thousands of exact copies are
-one row afterwards.  A bucket never emits its pairs: each is compared with one centre, the member
-that shares buckets with most others; components then merge what the centre holds together, and
-only buckets that still hold several components go on.  There links through
-rare shingles are found by their rarest ones, and a member whose rare shingles leave too little to
-share with any size in the bucket is done; this settles the outer members of large families of
-copies without pairs.  When the pairs left across
-components are few against the rows, all of them are compared, else the bucket takes another
-centre, so no link is lost to a cap.  Joins on a bucket or a centre are plain sort-merge joins, which adaptive execution splits
-when one key is hot.
-
-Edge cases: null and empty texts have an empty set (n_shingles 0) and link with nothing; equal
-doc_ids are one document for linking but stay as many rows; ties go to the smallest doc_id; an
-empty table gives an empty result.  Columns other than the id and the text are not looked at.
-A null doc_id keeps its row with a null component and kept = true.
+confirmed on their full sets, and links are joined into components.  Bands of five samples are as many as
+keep the share of threshold pairs without a common band below 1e-5 (20 at 0.85, 29 at 0.8).
+
+Scale.  Equal sets (by a 128-bit digest and their size) are one class, grouped with partial aggregation, so
+thousands of exact copies are one row afterwards.  A bucket never emits its pairs: each is compared with one
+centre, the member that shares buckets with most others; components then merge what the centre holds
+together, and only buckets that still hold several components go on.  There links through rare shingles are
+found by their rarest ones, and a member whose rare shingles leave too little to share with any size in the
+bucket is done; this settles the outer members of large families of copies without pairs.  What is left takes
+more centres a round, 8, then 64, then 256 (centres are done, they have met all others), until no bucket holds
+members of two components that have not met, so no link is lost to a cap.  Buckets, classes and components
+that hold many rows are few by arithmetic: they are joined by a bounded broadcast, all others by a shuffle.
+
+Edge cases: null and empty texts have an empty set (n_shingles 0) and link with nothing; rows with one
+doc_id are one document: if their texts differ, the classes of all of them are linked; ties go to the
+smallest doc_id; an empty table gives an empty result.  Columns other than the id and the text are not looked
+at.  A null doc_id keeps its row with a null component and kept = true.
 """
 
 from __future__ import annotations
@@ -31,13 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _store, _text
+from . import _skew, _store, _text
 
-BANDS, ROWS, BITS = 20, 5, 512
+ROWS, BITS = 5, 512
 SIGN = "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"
 
 
-def estimate_floor(threshold: float, samples: int = BANDS * ROWS, bits: int = BITS) -> int:
+def bands_for(threshold: float, missed: float = 1e-5) -> int:
+    """Bands by which no more than ``missed`` of the pairs at the threshold share none."""
+    return max(1, math.ceil(math.log(missed) / math.log(1 - min(threshold, 0.999) ** ROWS)))
+
+
+def estimate_floor(threshold: float, samples: int, bits: int = BITS) -> int:
     """XOR population above which two sketches are ruled out: five standard deviations below the threshold."""
     low = max(0.0, threshold - 5 * math.sqrt(threshold * (1 - threshold) / samples))
     differing = 2 * samples * (1 - low)
@@ -45,7 +50,7 @@ def estimate_floor(threshold: float, samples: int = BANDS * ROWS, bits: int = BI
     return math.ceil(expected + 5 * math.sqrt(bits) / 2 * math.sqrt(1 - (1 - 2 / bits) ** (2 * differing)))
 
 
-def signatures(k: int, bands: int = BANDS, rows: int = ROWS, bits: int = BITS):
+def signatures(k: int, bands: int, rows: int = ROWS, bits: int = BITS):
     """mapInArrow function: (doc_id, text) to set size, set digest, band keys and odd sketch."""
 
     def run(batches):
@@ -64,8 +69,7 @@ def signatures(k: int, bands: int = BANDS, rows: int = ROWS, bits: int = BITS):
                         signed[:, i] = np.minimum.reduceat(hashes * factors[i] + salts[i], starts)
                     for d in filled:
                         own = np.unique(hashes[begin[d] : begin[d + 1]])
-                        size[d] = len(own)
-                        digest[d] = own.sum(dtype=np.uint64), _text.mixed(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+                        size[d], digest[d] = len(own), digest_of(own)
                 keys = np.zeros((len(filled), bands), np.uint64)
                 for b in range(bands):
                     key = np.full(len(filled), b + 1, np.uint64)
@@ -87,16 +91,23 @@ def signatures(k: int, bands: int = BANDS, rows: int = ROWS, bits: int = BITS):
     return run
 
 
+def digest_of(own: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of a set of distinct shingle hashes."""
+    return own.sum(dtype=np.uint64), _text.mixed(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
+
+
 def shingle_sets(k: int):
-    """mapInArrow function: (doc_id, text) to the sorted distinct shingle hashes."""
+    """mapInArrow function: text to its set's digest and size and the sorted distinct shingle hashes."""
 
     def run(batches):
         for whole in batches:
             for batch in _text.pieces(whole, "text"):
                 hashes, begin = _text.shingles(*_text.words(*_text.utf8(batch.column("text"))), k)
-                own = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(begin, begin[1:])]
-                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))], ["doc_id", "shingles"])
+                own = [np.unique(hashes[a:b]) for a, b in zip(begin, begin[1:])]
+                ends = np.cumsum([0, *map(len, own)])
+                digest = np.array([digest_of(x) for x in own], np.uint64).reshape(-1, 2).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(np.diff(ends)), lists], ["d1", "d2", "n", "shingles"])
 
     return run
 
@@ -137,10 +148,10 @@ def grown(labels: DataFrame | None, links: DataFrame, path: str) -> DataFrame:
     return _store.saved(old.union(fresh), f"{path}/grown")
 
 
-def undecided(rows: DataFrame) -> DataFrame:
-    """Rows of buckets in which members not yet compared, of several components, are left."""
-    several = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count_if(~F.col("spent")).alias("fresh")).filter("p <> q and fresh > 1").select("key")
-    return rows.join(several, "key")
+def undecided(rows: DataFrame, path: str) -> DataFrame:
+    """Rows of buckets in which members of several components are left, with the least size among these."""
+    several = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m"), F.min("n").alias("least")).filter("p <> q")
+    return _skew.lookup(rows, _store.saved(several.select("key", "m", "least"), path), ["key"], "m").drop("m")
 
 
 def rare_shingles(rest: DataFrame, candidates: DataFrame, sets: DataFrame, percent: int, rare: int, path: str) -> tuple[DataFrame, DataFrame]:
@@ -150,99 +161,111 @@ def rare_shingles(rest: DataFrame, candidates: DataFrame, sets: DataFrame, perce
     rare shingle needs both to have enough common ones: ``most`` is the most words a partner of that
     kind may have.  A link between sets with one shows in the rarest shingles of both (the prefix
     filter), so joining these finds it; a rare shingle makes a bounded number of pairs.
-    Returns ((rep, n, most), pairs (a, b)).
+    Returns ((rep, most), pairs (a, b)).
     """
-    part = rest.filter("not spent").groupBy(F.col("rep").alias("doc_id")).agg(F.min("part").alias("part"))
-    held = sets.join(part.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("g"))
+    part = rest.groupBy("rep").agg(F.min("part").alias("part"))
+    held = sets.join(part.select("rep"), "rep", "left_semi").select("rep", F.explode("shingles").alias("g"))
     few = held.groupBy("g").agg(F.count("*").alias("df")).filter(F.col("df") <= rare)
     own = held.join(few, "g").groupBy("rep").agg(F.count("*").alias("rare"), F.sort_array(F.collect_list(F.struct("df", "g"))).alias("first"))
-    sized = candidates.select("rep", "n").join(part.withColumnRenamed("doc_id", "rep"), "rep").join(own, "rep", "left")
+    sized = candidates.select("rep", "n").join(part, "rep").join(own, "rep", "left")
     prefix = F.expr(f"slice(first, 1, CAST(n - ceil(n * {percent} / 100) + 1 AS INT))")
     most = F.floor((F.col("n") - F.coalesce("rare", F.lit(0))) * (100 + percent) / percent - F.col("n"))
     bound = _store.saved(sized.select("rep", "part", "n", most.alias("most"), F.filter(prefix, lambda x: x["df"] > 1).alias("first")), f"{path}/bound")
     heads = bound.select("rep", "part", F.explode("first").alias("x")).select("rep", "part", F.col("x.g").alias("g"))
     a, b = (heads.select("g", F.col("rep").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
-    return bound.select("rep", "n", "most"), a.join(b, "g").filter("part_a <> part_b and a < b").select("a", "b").distinct()
+    return bound.select("rep", "most"), a.join(b, "g").filter("part_a <> part_b and a < b").select("a", "b").distinct()
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", spare: int = 64, rare: int = 64, broadcast_ids: int = 4_000_000) -> DataFrame:
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rare: int = 64, centres: tuple[int, ...] = (1, 8, 64, 256), broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of documents.
 
-    Documents whose shingle sets' similarity is percent / 100 or more are linked;
-    component_id is the smallest doc_id reachable.  ``spare``: pairs left across components are
-    all compared at once when they are fewer than this multiple of the bucket rows; until then
-    each bucket goes on with one more centre.  ``broadcast_ids``: candidates' ids are broadcast to
-    fetch their full sets if they are no more than this, else joined by a shuffle.
+    Documents whose shingle sets' similarity is percent / 100 or more are linked; component_id is the
+    smallest doc_id reachable.  ``centres``: how many centres a bucket takes by round, the last for all
+    further ones.  ``broadcast_ids``: the ids of one document a candidate class are broadcast to fetch its
+    set if they are no more than this (some 100 MB), else joined by a shuffle.
     """
     spark = documents.sparkSession
     path = _store.work_dir(spark, "minhash")
+    bands = bands_for(percent / 100)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = _store.saved(docs.mapInArrow(signatures(k), SIGN), f"{path}/signed")
+    signed = _store.saved(docs.mapInArrow(signatures(k, bands), SIGN), f"{path}/signed")
     alone = ["d1", "d2", "n"]
-    classes = _store.saved(signed.filter("n > 0 and doc_id is not null").groupBy(*alone).agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x")).select(*alone, F.col("x.doc_id").alias("rep"), "x.bands", "x.sketch"), f"{path}/classes")
-    member = signed.select("doc_id", *alone)
-
-    # buckets with at least two distinct sets
-    in_bucket = classes.select("rep", F.explode("bands").alias("key"))
-    crowded = in_bucket.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    rows = _store.saved(in_bucket.join(crowded, "key"), f"{path}/rows")
-    n_rows = rows.count()
-    if n_rows:
-        score = rows.groupBy("rep").agg(F.sum("m").alias("score"))
-        rows = _store.saved(rows.select("key", "rep").join(score, "rep"), f"{path}/scored")
-        candidates = _store.saved(classes.join(score.select("rep"), "rep", "left_semi").select("rep", "n", "sketch"), f"{path}/candidates")
-        ids = candidates.select(F.col("rep").alias("doc_id"))
-        if candidates.count() <= broadcast_ids:
-            ids = F.broadcast(ids)
-        sets = _store.saved(docs.join(ids, "doc_id", "left_semi").mapInArrow(shingle_sets(k), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), f"{path}/sets")
-        limit = estimate_floor(percent / 100)
+    linkable = signed.filter("n > 0 and doc_id is not null").select("doc_id", *alone)
+    classes = signed.filter("n > 0 and doc_id is not null").groupBy(*alone).agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x"), F.count("*").alias("copies"))
+    classes = _store.saved(classes.select(F.monotonically_increasing_id().alias("rep"), *alone, "copies", F.col("x.doc_id").alias("first"), "x.bands", "x.sketch"), f"{path}/classes")
+
+    # a document with several texts links their classes
+    labels = None
+    both = linkable.groupBy("doc_id").agg(F.min(F.struct(*alone)).alias("lo"), F.max(F.struct(*alone)).alias("hi"), F.count("*").alias("c")).filter("lo <> hi")
+    both = _store.saved(both.select("doc_id", "c", *[F.col(f"lo.{x}").alias(f"lo_{x}") for x in alone]), f"{path}/texts")
+    if not both.isEmpty():
+        own = _skew.lookup(linkable, both, ["doc_id"], "c").drop("doc_id", "c").distinct()
+        of = lambda x, prefix: classes.select(F.col("rep").alias(x), *[F.col(c).alias(prefix + c) for c in alone])
+        links = own.join(of("a", ""), alone).join(of("b", "lo_"), [f"lo_{c}" for c in alone]).filter("a <> b").select("a", "b")
+        labels = components(_store.saved(links, f"{path}/links_ids"), f"{path}/parts_ids")
+
+    # buckets with at least two classes
+    in_bucket = classes.select("rep", "n", F.explode("bands").alias("key"))
+    crowded = _store.saved(in_bucket.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), f"{path}/crowded")
+    rows = _store.saved(_skew.lookup(in_bucket, crowded, ["key"], "m"), f"{path}/rows")
+    score = _store.saved(rows.groupBy("rep").agg(F.sum("m").alias("score")), f"{path}/score")
+    n_candidates = score.count()
+    if n_candidates:
+        candidates = _store.saved(classes.join(score.select("rep"), "rep", "left_semi").select("rep", *alone, "first", "sketch"), f"{path}/candidates")
+        few = lambda table: F.broadcast(table) if n_candidates <= broadcast_ids else table
+        firsts = candidates.select(F.col("first").alias("doc_id")).distinct()
+        found = docs.join(few(firsts), "doc_id", "left_semi").select("text").mapInArrow(shingle_sets(k), "d1 long, d2 long, n long, shingles array<long>")
+        sets = _store.saved(found.join(few(candidates.select(*alone, "rep")), alone).select("rep", "shingles").dropDuplicates(["rep"]), f"{path}/sets")
+        limit = estimate_floor(percent / 100, bands * ROWS)
 
         def confirmed(pairs: DataFrame, name: str) -> DataFrame:
             """Distinct (a, b) pairs that the sketches let pass and the full sets confirm."""
             left = candidates.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
             right = candidates.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
             close = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).filter(popcount(F.col("sa"), F.col("sb")) <= limit).select("a", "b", "na", "nb")
-            x, y = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb"))
+            x, y = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb"))
             shared = close.join(y, "b").join(x, "a").select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("both"))
             return _store.saved(shared.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b"), f"{path}/{name}")
 
-        open_rows, labels, turn = rows.withColumns({"spent": F.lit(False), "part": F.col("rep")}), None, 0
-        while True:
+        def parted(rows: DataFrame) -> DataFrame:
+            """rows with their class's component as it is now."""
+            rows = rows.drop("part")
+            return rows.withColumn("part", F.col("rep")) if labels is None else rows.join(labels.select(F.col("id").alias("rep"), F.col("label").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+
+        open_rows, turn = _store.saved(parted(rows.select("key", "rep", "n").join(score, "rep").withColumn("most", F.lit(None).cast("long"))), f"{path}/open0"), 0
+        while not open_rows.isEmpty():
             turn += 1
-            centre = open_rows.filter("not spent").groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("centre"))
-            faced = open_rows.select("key", "rep", "score", "spent").join(centre, "key")
-            pairs = faced.filter("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+            slots = centres[min(turn, len(centres)) - 1]
+            best = open_rows.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(slots)).alias("slot")).agg(F.max_by(F.struct("rep", "n", "part", "most"), F.struct("score", -F.col("rep"))).alias("c"), F.count("*").alias("m"))
+            best = _store.saved(best.groupBy("key").agg(F.collect_list("c").alias("cs"), F.sum("m").alias("m")), f"{path}/centres{turn}")  # no more than slots of them a key
+            faced = _skew.lookup(open_rows, best, ["key"], "m")
+            met = faced.select("rep", "n", "part", "most", F.explode("cs").alias("c")).filter("part <> c.part and n <= coalesce(c.most, n) and c.n <= coalesce(most, c.n)")
+            met = met.filter(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent)
+            pairs = met.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
             labels = grown(labels, confirmed(pairs, f"links{turn}"), f"{path}/parts{turn}")
-            rest = faced.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "score", (F.col("spent") | (F.col("rep") == F.col("centre"))).alias("spent"), F.coalesce("label", "rep").alias("part"))
-            rest = _store.saved(undecided(rest), f"{path}/rest{turn}")
+            rest = _store.saved(parted(faced.filter("NOT exists(cs, c -> c.rep = rep)").select("key", "rep", "n", "score", "most")), f"{path}/rest{turn}")
+            open_rows = undecided(rest, f"{path}/several{turn}")
             if turn == 1:
-                bound, shared = rare_shingles(rest, candidates, sets, percent, rare, path)
+                open_rows = _store.saved(open_rows, f"{path}/first")
+                bound, shared = rare_shingles(open_rows, candidates, sets, percent, rare, path)
                 labels = grown(labels, confirmed(shared, "links_rare"), f"{path}/parts_rare")
-            sized = rest.filter("not spent").join(bound, "rep")
-            least = sized.groupBy("key").agg(F.min("n").alias("least"))
-            alive = sized.join(least, "key").filter("most >= least").drop("least")
-            alive = _store.saved(undecided(alive), f"{path}/alive{turn}")
-            cross = alive.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("cross")).agg(F.sum("cross")).first()[0]
-            if not cross:
-                break
-            if cross // 2 <= spare * n_rows:
-                drawn = alive.join(candidates.select("rep", "sketch"), "rep")
-                a, b = (drawn.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "part", "n", "most", "sketch"))) for x in "ab")
-                close = popcount(F.col("sketch_a"), F.col("sketch_b")) <= limit
-                pairs = a.join(b, "key").filter("part_a <> part_b and rep_a < rep_b and n_a <= most_b and n_b <= most_a").filter(close).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-                labels = grown(labels, confirmed(pairs, "links_last"), f"{path}/parts_last")
-                break
-            open_rows = alive.select("key", "rep", "score", "spent", "part")
-        labels = labels.withColumnRenamed("id", "rep")
-        classes = classes.select(*alone, "rep").join(labels, "rep", "left").select(*alone, F.coalesce("label", "rep").alias("component"))
-    else:
-        classes = classes.select(*alone, F.col("rep").alias("component"))
-    found = _store.saved(classes, f"{path}/found")
-    out = member.join(found, alone, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+                open_rows = undecided(_store.saved(parted(open_rows.drop("most", "least").join(bound, "rep")), f"{path}/bounded"), f"{path}/several_rare")
+            open_rows = _store.saved(open_rows.filter("most >= least").drop("least"), f"{path}/open{turn}")
+    found = classes.select("rep", *alone, "copies", "first", F.col("rep").alias("label"))
+    if labels is not None:
+        found = found.drop("label").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    found = _store.saved(found, f"{path}/labelled")
+    least = _store.saved(found.groupBy("label").agg(F.min("first").alias("component"), F.count("*").alias("c")), f"{path}/least")
+    found = _store.saved(_skew.lookup(found, least, ["label"], "c").select(*alone, "copies", "component"), f"{path}/found")
+    out = _skew.lookup(linkable, found, alone, "copies").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    out = out.unionByName(signed.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def dedup(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 1_000_000) -> DataFrame:
     """The documents with all their columns, one of each group of near-duplicates: that with the smallest id."""
-    kept = near_duplicates(documents, k, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return documents.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    spark = documents.sparkSession
+    gone = near_duplicates(documents, k, percent, id_col, text_col, broadcast_ids=broadcast_ids).filter("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
+    gone = _store.saved(gone, f"{_store.work_dir(spark, 'dedup')}/gone")
+    side = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
+    return documents.join(side, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")

@@ -39,6 +39,36 @@ def test_against_sql(spark, name):
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, expected.values.tolist()))
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    """Equal ids with different texts against plain Python: an id's texts are linked, whatever else they are like."""
+    rng = random.Random(8)
+    texts = [[f"t{j}w{i}" for i in range(80)] for j in range(12)]
+    rows = []
+    for i in range(90):
+        w = list(rng.choice(texts))
+        if rng.random() < 0.5:
+            w[rng.randrange(80)] = "other"
+        rows.append((rng.randrange(1000) if i % 9 else rng.choice([5, 6, 7]), " ".join(w)))
+    rows += [(5, ""), (2000, ""), (2001, None), (None, " ".join(texts[0]))]
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [(i, set(grams(t, 3))) for i, t in rows if i is not None]
+    for i, a in sets:
+        for j, b in sets:
+            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    got = odd_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 85).collect()
+    assert len(got) == len(rows) and len({find(i) for i in parent}) > 5
+    assert {(r.doc_id, r.component_id) for r in got if r.n_shingles and r.doc_id is not None} == {(i, find(i)) for i, a in sets if a}
+    assert all(r.component_id == r.doc_id and r.kept for r in got if not r.n_shingles or r.doc_id is None)
+
+
 def test_near_duplicates_of_odd_rows(odd, none, odd_rows):
     got = sorted(odd_minhash.near_duplicates(odd, 3, 85).collect(), key=str)
     assert len(got) == len(odd_rows)
@@ -77,8 +107,8 @@ def test_every_copy_of_a_chain_is_found(spark):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     want = {i: find(i) for i in sets}
-    for spare in (0, 64):
-        got = odd_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, spare=spare)
+    for centres in ((1, 8, 64), (1, 2)):
+        got = odd_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, centres=centres, broadcast_ids=100 * (centres == (1, 2)))
         assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
