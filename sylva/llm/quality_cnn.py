@@ -6,9 +6,10 @@ pooled again (greatest, mean and least over its chunks), and a small hidden laye
 with the text's log length into one probability.  Training is plain back-propagation with Adam.
 
 Scale.  Training takes a bounded sample of labelled rows: at most ``max_rows`` with the least hashes
-of their id, and no more than ``max_bytes`` of text, taken in that order (documented parameters).
-The model is some tens of kilobytes and goes with the function.  Scoring is one pass without an
-exchange; a document is scored in strips, so its length does not bound memory.
+of their id, and no more than ``max_bytes`` of text, taken in that order (documented parameters),
+fetched in one scan of the documents.
+The model is some tens of kilobytes and goes with the function.  Scoring, and leaving out what scores
+too low, is one pass without an exchange; a document is scored in strips, so its length does not bound memory.
 
 Edge cases: null and empty texts have no chunk and get the score of an all-zero document; texts
 shorter than a window are padded; repeated rows get equal scores; with labels of one class only,
@@ -21,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _store, _text
 
 
 @dataclass(frozen=True)
@@ -159,46 +161,58 @@ class ByteConvNet:
 
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 12 << 20, id_col: str = "doc_id", text_col: str = "text", shape: Shape = Shape(), **options) -> ByteConvNet:
-    """Train on labels (doc_id, label 0 or 1)."""
+    """Train on labels (doc_id, label 0 or 1).
+
+    The documents of the first max_rows labels by hash are read once; rows alike in id, text and label count as
+    one, and of the others the first max_rows by hash are taken as long as max_bytes allow."""
+    spark = documents.sparkSession
     clean = labels.select(F.col("doc_id").cast("long").alias("_label_id"), F.col("label").cast("int").alias("_label")).filter("_label_id is not null and _label is not null")
-    some = clean.orderBy(F.xxhash64("_label_id"), "_label_id").limit(max_rows)  # at most max_rows small rows: broadcast
+    some = clean.orderBy(F.xxhash64("_label_id"), "_label_id", "_label").limit(max_rows)  # at most max_rows small rows: broadcast
     docs = documents.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    joined = docs.join(F.broadcast(some), F.col("_id") == F.col("_label_id")).withColumn("_size", F.octet_length("_text"))
+    joined = docs.join(F.broadcast(some), F.col("_id") == F.col("_label_id")).select(F.xxhash64("_id").alias("_h"), "_id", F.xxhash64("_text").alias("_digest"), "_label", F.octet_length("_text").alias("_size"), "_text")
+    joined = _store.saved(joined, f"{_store.work_dir(spark, 'labelled')}/rows")
     # sizes first, so that no more than max_bytes of text come to the driver
-    sizes = sorted(joined.select(F.xxhash64("_id"), "_id", "_size").collect())
-    ids, used = set(), 0
-    for _, i, n in sizes:
-        if used + n <= max_bytes:
-            ids.add(i)
-            used += n
-    chosen = documents.sparkSession.createDataFrame([(i,) for i in ids], "_id long")
-    rows = sorted(joined.join(F.broadcast(chosen), "_id", "left_semi").select("_id", "_text", "_label").collect())
+    key = ["_h", "_id", "_digest", "_label"]
+    sizes = joined.groupBy(*key).agg(F.max("_size").alias("_size")).orderBy(*key).limit(max_rows).collect()
+    chosen, used = [], 0
+    for r in sizes:
+        if used + r._size <= max_bytes:
+            chosen.append((r._h, r._id, r._digest, r._label))
+            used += r._size
+    chosen = spark.createDataFrame(chosen, "_h long, _id long, _digest long, _label int")
+    rows = sorted(joined.join(F.broadcast(chosen), key, "left_semi").dropDuplicates(key).select(*key, "_text").collect())
     return ByteConvNet(shape).fit([r._text.encode() for r in rows], [r._label for r in rows], **options)
 
 
 def score(documents: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score), a row for each row of documents."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_scorer(net, ["doc_id"]), "doc_id long, score double")
+
+    def run(batches):
+        for batch, scores in _scored(net, batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
+
+    return docs.mapInArrow(run, "doc_id long, score double")
 
 
-def _scorer(net: ByteConvNet, names: list[str]):
-    """mapInArrow function: the columns named, and the score of the text."""
+def _scored(net: ByteConvNet, batches, text_col: str):
+    """(rows, their scores), some rows at a time."""
+    for whole in batches:
+        for batch in _text.pieces(whole, text_col):
+            buf, at = _text.utf8(batch.column(text_col))
+            pooled = np.array([net.pooled(buf[a:b]) for a, b in zip(at, at[1:])]).reshape(batch.num_rows, -1)
+            yield batch, pa.array(net.scores(pooled) if batch.num_rows else np.zeros(0))
+
+
+def keep_good(documents: DataFrame, net: ByteConvNet, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that score threshold or more; each row by its own text, in the pass that scores it."""
+    names = documents.columns
+    plain = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
-        for whole in batches:
-            for batch in _text.pieces(whole, "text"):
-                buf, at = _text.utf8(batch.column("text"))
-                pooled = np.array([net.pooled(buf[a:b]) for a, b in zip(at, at[1:])]).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(net.scores(pooled) if batch.num_rows else np.zeros(0))], [*names, "score"])
-
-    return run
-
-
-def keep_good(documents: DataFrame, net: ByteConvNet, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that score threshold or more; each row by its own text, whatever its id."""
-    text = F.col(text_col).cast("string")
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    scored = docs.mapInArrow(_scorer(net, ["doc_id", "digest"]), "doc_id long, digest long, score double")
-    bad = scored.filter(F.col("score") < threshold).select(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest")).distinct()
-    return documents.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text) == F.col("_bad_digest")), "left_anti")
+        for batch, scores in _scored(net, batches, "text"):
+            yield batch.select([f"c{i}" for i in range(len(names))]).filter(pc.greater_equal(scores, threshold))
+
+    schema = plain.select(*[f"c{i}" for i in range(len(names))]).schema
+    kept = plain.mapInArrow(run, schema)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
