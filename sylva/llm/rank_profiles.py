@@ -7,8 +7,8 @@ place, with the greatest distance for n-grams the profile lacks.  The nearest la
 N-grams run over words of letters (upper case folded), with a blank at each end, lengths 1 to 3.
 A letter is a code point for which str.isalpha holds; everything else parts words.
 
-Scale.  Profiles are learned from a bounded sample (``max_docs`` documents a language, those with
-the least hashes of their id), counted in the executors and summed with partial aggregation; a
+Scale.  Profiles are learned from a bounded sample (no more than ``max_docs`` documents a language, those
+with the least hashes of id and text), counted in the executors and summed with partial aggregation; a
 profile has ``size`` entries.  Prediction is one pass without an exchange.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; equal counts rank by the
@@ -96,12 +96,13 @@ class Profiles:
 def learn(documents: DataFrame, size: int = 400, max_docs: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
     """Profiles of the languages in documents."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    # the id hash below which about max_docs documents of a language lie, from counts in 1024 cells
-    hashed = docs.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(1024)))
+    # hashes in 65,536 ranges are counted; rows up to the range in which max_docs are reached are few, and are ranked
+    hashed = docs.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("cell", F.shiftright("h", 48))
     cells = hashed.groupBy("lang", "cell").agg(F.count("*").alias("n"))
-    upto = cells.withColumn("run", F.sum("n").over(Window.partitionBy("lang").orderBy("cell")))
-    last = upto.groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("run") <= max_docs, F.col("cell"))), F.min("cell")).alias("last"))
-    some = hashed.join(F.broadcast(last), "lang").filter("cell <= last").select("lang", "text")
+    upto = cells.withColumn("before", F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    last = upto.filter(F.col("before") < max_docs).groupBy("lang").agg(F.max("cell").alias("last"))
+    few = hashed.join(F.broadcast(last), "lang").filter("cell <= last")
+    some = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= max_docs).select("lang", "text")
 
     def count(batches):
         for batch in batches:
