@@ -11,9 +11,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where it names none."""
+    """The shared folder that the cluster names; a temporary one where a local session names none."""
     base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} names no folder that driver and executors share")
         base = getattr(spark, "_sylva_shared", None)
         if base is None:
             base = spark._sylva_shared = "file://" + tempfile.mkdtemp(prefix="sylva-")

@@ -5,13 +5,15 @@ within a factor of ``fanout`` form a tier; as soon as a tier holds ``fanout`` of
 merged towards files of ``target_bytes``, so a row is rewritten a logarithmic number of times.
 What is live is said by a versioned manifest: a new version is written under another name and
 renamed to its number, which fails if that number is taken, so readers see the one or the other
-and two writers cannot both commit.  Files that no version holds any more go after the commit.
+and two writers cannot both commit; the one that comes second tries again over the new version.  Old
+versions stay readable until ``expire`` lets them go, with the files that no later version lists.
 
 Scale.  The driver holds one entry a shard.  A merge round is one job for all groups: rows are
 exchanged by their group, whose bytes are bounded by the target whatever the source, so a source
 with a third of all rows does not land in one task.  Shards at the target are never read again.
 
-Edge cases: all columns are kept as they are, under their own names; null, empty and very long
+Edge cases: all columns are kept as they are, under their own names (names used inside are chosen so that
+they clash with none, and what is read stands in a struct); null, empty and very long
 texts are values as others are (a row larger than the target is a shard of its own size); repeated
 rows stay; an empty arrival adds no shard; reading an empty store needs its schema and gives no row.
 """
@@ -87,9 +89,17 @@ class TieredShards:
 
     def append(self, arrival: DataFrame) -> int:
         """One arrival's rows as small shards of their own; returns the version."""
-        folder, over = f"{self.path}/data/{uuid.uuid4().hex}", self.version()
+        folder = f"{self.path}/data/{uuid.uuid4().hex}"
         arrival.write.option("compression", "zstd").parquet(folder)
-        return self.commit(self.shards(over) + self._written(folder), over)
+        own = self._written(folder)
+        while True:
+            over = self.version()
+            try:
+                return self.commit(self.shards(over) + own, over)
+            except Conflict:
+                if self.version() == over:  # not another writer's doing
+                    _store.remove(self.spark, folder)
+                    raise
 
     def tier(self, shard: Shard) -> int:
         """Shards of a tier differ by less than the fanout; those near the target are done: -1."""
@@ -132,33 +142,78 @@ class TieredShards:
                 return over
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
             merged = {s.path for g in groups for s in g}
-            where = self.spark.createDataFrame([(s.path.split("/data/")[-1], i) for i, g in enumerate(groups) for s in g], "_file string, _group int")
             rows = self.spark.read.parquet(*sorted(merged))
-            rows = rows.withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1)).join(F.broadcast(where) if len(merged) <= 100_000 else where, "_file").drop("_file")
-            rows.repartitionById(len(groups), F.col("_group")).write.partitionBy("_group").option("compression", "zstd").parquet(folder)
-            version = self.commit([s for s in shards if s.path not in merged] + self._written(folder), over)
-            for path in merged:
-                _store.remove(self.spark, path)
-            if last:
+            file, group = _unused("_file", rows.columns), _unused("_group", rows.columns)
+            where = self.spark.createDataFrame([(_name(s.path), i) for i, g in enumerate(groups) for s in g], f"`{file}` string, `{group}` int")
+            rows = rows.withColumn(file, _file_name(rows)).join(F.broadcast(where) if len(merged) <= 100_000 else where, file).drop(file)
+            rows.repartitionById(len(groups), F.col(group)).write.partitionBy(group).option("compression", "zstd").parquet(folder)
+            own = self._written(folder)
+            while True:
+                try:
+                    version = self.commit([s for s in shards if s.path not in merged] + own, over)
+                    break
+                except Conflict:
+                    over, before = self.version(), over
+                    shards = self.shards(over)
+                    if over == before:
+                        _store.remove(self.spark, folder)
+                        raise
+                    if not merged <= {s.path for s in shards}:  # another compaction was first
+                        _store.remove(self.spark, folder)
+                        version = None
+                        break
+            if last and version:
                 return version
 
-    def read(self) -> DataFrame:
-        """The rows of the live shards with the number of their shard in the manifest."""
-        shards = self.shards()
-        named = self.spark.createDataFrame([(s.path.split("/data/")[-1], i, s.n_bytes) for i, s in enumerate(shards)], "_file string, shard int, shard_bytes long")
-        rows = self.spark.read.parquet(*[s.path for s in shards]).withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1))
+    def expire(self, keep: int = 1) -> None:
+        """Remove all versions but the newest ``keep``, and files that none of these lists.
+
+        For one caller at a time, when no append is under way: files of a commit to come are listed nowhere yet."""
+        versions = range(max(1, self.version() - keep + 1), self.version() + 1)
+        live = {s.path for v in versions for s in self.shards(v)}
+        fs, at = _store.filesystem(self.spark, f"{self.path}/manifest")
+        old = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        for name in old:
+            if name.startswith("v") and int(name[1:-5]) < versions[0]:
+                _store.remove(self.spark, f"{self.path}/manifest/{name}")
+        for s in self._written(f"{self.path}/data") if live else []:
+            if s.path not in live:
+                _store.remove(self.spark, s.path)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version's shards (the newest by default): (doc, shard, shard_bytes), a struct of all
+        columns, the shard's number in the manifest and its size."""
+        shards = self.shards(version)
+        named = self.spark.createDataFrame([(_name(s.path), i, s.n_bytes) for i, s in enumerate(shards)], "_file string, shard int, shard_bytes long")
+        rows = self.spark.read.parquet(*[s.path for s in shards])
+        rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("doc"), _file_name(rows).alias("_file"))
         return rows.join(F.broadcast(named) if len(shards) <= 100_000 else named, "_file").drop("_file")
 
 
+def _name(path: str) -> str:
+    return path.split("/data/")[-1]
+
+
+def _file_name(rows: DataFrame):
+    return F.element_at(F.split(rows.metadataColumn("_metadata").getField("file_path"), "/data/"), -1)
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    """name, or a longer one that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def shard(documents: DataFrame, path: str | None = None, arrivals: int = 3, target_bytes: int = 64 << 20, fanout: int = 4, id_col: str = "doc_id") -> DataFrame:
     """Write documents as ``arrivals`` arrivals, compact after each, and read the live shards back:
     all columns, under a struct ``doc``, with shard and shard_bytes."""
     spark = documents.sparkSession
     store = TieredShards(spark, path or _store.work_dir(spark, "shards"), target_bytes, fanout)
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
     for i in range(arrivals):
-        store.append(rows.filter(F.pmod(F.xxhash64(F.coalesce(F.col(f"doc.`{id_col}`").cast("string"), F.lit(""))), F.lit(arrivals)) == i))
+        store.append(documents.filter(F.pmod(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), F.lit(arrivals)) == i))
         store.compact(final=i == arrivals - 1)
+        store.expire()  # no reader holds an older version of a store that is being made
     if not store.shards():
-        return rows.limit(0).select("doc", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("shard_bytes"))
+        return documents.limit(0).select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("shard_bytes"))
     return store.read()

@@ -57,6 +57,31 @@ def test_strips_do_not_matter():
     assert np.allclose(net.pooled(buf, 1 << 10), net.pooled(buf, 1 << 24), atol=1e-5)
 
 
+def test_forward_pass_against_loops():
+    shape = quality_cnn.Shape(embedding=3, window=5, stride=2, filters=4, hidden=3, chunk=6, step=4)
+    net = quality_cnn.ByteConvNet(shape, seed=3)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    for text in (b"a", b"abcde", b"The quick brown fox", "é漢字 and some more bytes than a chunk holds, twice over".encode() * 3):
+        n = max(1, -(-max(0, len(text) - 5) // 2) + 1)
+        padded = text + bytes((n - 1) * 2 + 5 - len(text))
+        act = [[max(0.0, sum(p["E"][padded[2 * w + j]][e] * p["W"][3 * j + e][f] for j in range(5) for e in range(3)) + p["b"][f]) for f in range(4)] for w in range(n)]
+        chunks = [act[a : a + 6] for a in range(0, max(1, n - 2), 4)]
+        best = [[max(w[f] for w in c) for f in range(4)] for c in chunks]
+        x = [max(c[f] for c in best) for f in range(4)] + [sum(c[f] for c in best) / len(best) for f in range(4)] + [min(c[f] for c in best) for f in range(4)] + [np.log1p(len(text)) / 8]
+        hidden = [max(0.0, sum(x[i] * p["H"][i][h] for i in range(13)) + p["c"][h]) for h in range(3)]
+        want = 1 / (1 + np.exp(-(sum(hidden[h] * p["o"][h] for h in range(3)) + p["d"][0])))
+        assert net.scores(net.pooled(np.frombuffer(text, np.uint8), strip=16)[None])[0] == pytest.approx(want, abs=1e-5)
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_cnn.ByteConvNet, "fit", lambda self, texts, labels, **o: seen.append((texts, labels)) or self)
+    rows = [(i % 20, f"text {i % 40}") for i in range(400)]
+    quality_cnn.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, label int"), max_rows=12, max_bytes=70)
+    (texts, labels), = seen
+    assert 5 <= len(texts) <= 12 and len(set(texts)) == len(texts) and sum(map(len, texts)) <= 70 and len(labels) == len(texts)
+
+
 def test_quality_of_odd_rows(spark, odd, none, odd_rows):
     labels = spark.createDataFrame([(6, 1), (15, 0), (16, 1), (None, 1), (3, None)], "doc_id long, label int")
     net = quality_cnn.train(odd, labels, epochs=1)
@@ -90,6 +115,32 @@ def test_grams_against_counting():
     assert {k: v for k, v in said.items()} == plain_grams(text)
 
 
+def test_out_of_place_distance_against_loops():
+    texts = {"aa": "the cat sat on the mat the cat", "bb": "der hund und die katze und der hund", "cc": "the cat sat on the mat the cat"}
+    size = 12
+    code = lambda g: sum((1 if c == " " else ord(c)) << (21 * i) for i, c in enumerate(reversed(g)))
+    order = lambda t: [code(g) for g, _ in sorted(plain_grams(t).items(), key=lambda x: (-x[1], code(x[0])))][:size]
+    profiles = rank_profiles.Profiles({k: order(t) for k, t in texts.items()}, size)
+    for text in ("the mat", "und katze", "xyz", "the und", "cat"):
+        own = order(text)
+        want = {k: sum(abs(order(t).index(g) - r) if g in order(t) else size for r, g in enumerate(own)) / len(own) / size for k, t in texts.items()}
+        assert profiles.distances(text).tolist() == pytest.approx([want[k] for k in sorted(want)])
+        lang, score = profiles.predict(text)
+        assert lang == min(want, key=lambda k: (want[k], k))  # a tie goes to the first name
+        near = [np.exp(-20 * (d - min(want.values()))) for d in want.values()]
+        assert score == pytest.approx(max(near) / sum(near))
+
+
+def test_profiles_learn_from_no_more_than_asked(spark):
+    seen = {}
+    rows = [(i, f"w{'abcdefgh'[i % 8]}", "en" if i % 3 else "de") for i in range(600)]
+    for most in (1, 7, 100, 10_000):
+        profiles = rank_profiles.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=most)
+        seen[most] = {name: len(profiles.keys[(profiles.ranks[:-1, i] >= 0)]) for i, name in enumerate(profiles.names)}
+    assert set(seen[1]) == {"en", "de"}
+    assert all(n == 7 for n in seen[1].values()) and all(n <= 2 + 5 * 7 for n in seen[7].values())  # "wa" has seven n-grams, five of its own
+
+
 def test_languages_of_odd_rows(spark, odd, none, odd_rows):
     profiles = rank_profiles.learn(odd)
     got = {r.doc_id: r for r in rank_profiles.identify(odd, profiles).collect()}
@@ -159,7 +210,7 @@ def test_shards_grow_by_tiers(spark, tmp_path):
         store.compact()
         tiers = Counter(store.tier(s) for s in store.shards())
         assert all(n < 2 for t, n in tiers.items() if t >= 0) and all(s.n_bytes < 40_000 * 1.5 for s in store.shards())
-    assert sorted(r.id for r in store.read().collect()) == list(range(9000))
+    assert sorted(r.doc.id for r in store.read().collect()) == list(range(9000))
     over = store.version()
     with pytest.raises(tiered_shards.Conflict):
         store.commit([], over - 1)
@@ -170,6 +221,60 @@ def test_shards_grow_by_tiers(spark, tmp_path):
     assert len(sizes) == len(store.shards()) and store.shards(1) != store.shards()
 
 
+def test_old_versions_stay_until_they_expire(spark, tmp_path):
+    store = tiered_shards.TieredShards(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, fanout=3)
+    for i in range(3):
+        store.append(spark.range(i * 10, i * 10 + 10).repartition(1))
+    store.compact(final=True)
+    assert store.version() == 4 and len(store.shards()) == 1
+    for v in (1, 2, 3, 4):
+        assert sorted(r.doc.id for r in store.read(v).collect()) == list(range(10 * min(v, 3)))
+    store.expire(keep=2)
+    assert sorted(r.doc.id for r in store.read(3).collect()) == sorted(r.doc.id for r in store.read().collect()) == list(range(30))
+    assert len(list(tmp_path.glob("s/manifest/v*"))) == 2
+    store.expire()
+    assert len(list(tmp_path.glob("s/data/**/*.parquet"))) == 1 and store.read().count() == 30
+
+
+def test_a_writer_that_comes_second_tries_again(spark, tmp_path, monkeypatch):
+    store, other = (tiered_shards.TieredShards(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, fanout=9) for _ in range(2))
+    store.append(spark.range(3).repartition(1))
+    real, once = tiered_shards.TieredShards.commit, []
+
+    def late(self, shards, over):
+        if self is store and not once:
+            once.append(1)
+            other.append(spark.range(100, 103).repartition(1))
+        return real(self, shards, over)
+
+    monkeypatch.setattr(tiered_shards.TieredShards, "commit", late)
+    store.append(spark.range(10, 13).repartition(1))
+    assert sorted(r.doc.id for r in store.read().collect()) == [0, 1, 2, 10, 11, 12, 100, 101, 102]
+    once.clear()
+    store.compact(final=True)
+    assert sorted(r.doc.id for r in store.read().collect()) == [0, 1, 2, 10, 11, 12, 100, 100, 101, 101, 102, 102]
+
+
+def test_names_of_columns_do_not_matter(spark, tmp_path):
+    rows = [(i, "t", i, "f", 7, 8, "g") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _group int, _file string, shard int, shard_bytes long, _Group_ string")
+    got = tiered_shards.shard(frame, f"file://{tmp_path}/s", arrivals=3)
+    assert sorted(tuple(r.doc) for r in got.collect()) == rows and got.select("doc.*").columns == frame.columns
+
+
+def test_groups_are_as_a_plain_packing(spark, tmp_path):
+    store = tiered_shards.TieredShards(spark, f"file://{tmp_path}/s", target_bytes=64 << 20, fanout=4)
+    rng = np.random.default_rng(2)
+    shards = [tiered_shards.Shard(f"f{i}", int(x)) for i, x in enumerate(np.exp(rng.uniform(8, 18.2, 200)))]
+    groups = store.groups(shards)
+    for g in groups:
+        assert len(g) > 1 and len({store.tier(s) for s in g}) == 1 and sum(s.n_bytes for s in g) <= 64 << 20
+    left = Counter(store.tier(s) for s in {*shards} - {s for g in groups for s in g} if s.n_bytes * 2 <= 64 << 20)
+    assert all(n < 4 for n in left.values())  # what stays is too few for a tier, or the last one packed alone
+    whole = store.groups(shards, True)
+    assert sum(s.n_bytes for g in whole for s in g) >= sum(s.n_bytes for s in shards if s.n_bytes * 2 <= 64 << 20) - (64 << 20)
+
+
 def test_shards_of_odd_rows(spark, odd, none, odd_rows):
     got = tiered_shards.shard(odd, arrivals=2, target_bytes=1 << 20)
     assert Counter(tuple(r.doc) for r in got.collect()) == Counter(odd_rows)
