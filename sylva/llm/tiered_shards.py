@@ -143,7 +143,7 @@ class TieredShards:
             folder = f"{self.path}/data/{uuid.uuid4().hex}"
             merged = {s.path for g in groups for s in g}
             rows = self.spark.read.parquet(*sorted(merged))
-            file, group = _unused("_file", rows.columns), _unused("_group", rows.columns)
+            file, group = unused("_file", rows.columns), unused("_group", rows.columns)
             where = self.spark.createDataFrame([(_name(s.path), i) for i, g in enumerate(groups) for s in g], f"`{file}` string, `{group}` int")
             rows = rows.withColumn(file, _file_name(rows)).join(F.broadcast(where) if len(merged) <= 100_000 else where, file).drop(file)
             rows.repartitionById(len(groups), F.col(group)).write.partitionBy(group).option("compression", "zstd").parquet(folder)
@@ -198,7 +198,7 @@ def _file_name(rows: DataFrame):
     return F.element_at(F.split(rows.metadataColumn("_metadata").getField("file_path"), "/data/"), -1)
 
 
-def _unused(name: str, columns: list[str]) -> str:
+def unused(name: str, columns: list[str]) -> str:
     """name, or a longer one that no column has."""
     while name.lower() in {c.lower() for c in columns}:
         name += "_"

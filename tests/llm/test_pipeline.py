@@ -37,21 +37,27 @@ def test_quality_keeps_good_documents(spark, kept):
     assert sum(i in left for i in good) >= 0.9 * len(good) and len(left) < kept[0].count()
 
 
-def test_one_of_each_group(kept):
-    sets = {r.doc_id: set(grams(r.text, 5)) for r in kept[1].collect()}
-    parent = {i: i for i in sets}
+def plain_groups(rows):
+    """The least id reachable from each id of (id, text) rows by five-word shingles with similarity 0.8 or more."""
+    sets = [(i, set(grams(t, 5))) for i, t in rows if i is not None]
+    parent = {i: i for i, _ in sets}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a and len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((find(i), find(j)))
                 parent[y] = x
-    assert {r.doc_id for r in kept[2].collect()} == {find(i) for i in sets}
+    return {i: find(i) for i in parent}
+
+
+def test_one_of_each_group(kept):
+    groups = plain_groups([(r.doc_id, r.text) for r in kept[1].collect()])
+    assert {r.doc_id for r in kept[2].collect()} == set(groups.values())
 
 
 def test_no_benchmark_item_is_left(spark, kept):
@@ -77,3 +83,29 @@ def test_the_mix_meets_its_targets(kept):
 def test_run(spark, kept):
     got = C.run(spark, SF)
     assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in kept[-1].collect())
+
+
+def test_stages_on_odd_rows(spark, odd, none, odd_rows, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, empty tables and names that operators use themselves."""
+    labels = spark.createDataFrame([(6, 1), (15, 0), (16, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clashing = {"label": "_group", "h1": "shard", "row": "copies", "key": "c0", "n": "_file"}
+    named = odd.withColumnsRenamed(clashing)
+    for frame, rows in ((named, odd_rows), (none.withColumnsRenamed(clashing), [])):
+        for i, (name, stage) in enumerate(C.STAGES):
+            out = stage(spark, frame, str(tmp_path))
+            assert out.columns == [*frame.columns, *["shard_"] * (i == 4)], name
+            got = Counter(tuple(r)[: len(frame.columns)] for r in out.collect())
+            left = Counter(map(tuple, rows))
+            if name == "mixing":
+                assert set(got) <= set(left) and all(n <= 2 * left[r] for r, n in got.items()) and all(split(r[1]) for r in got)
+            else:
+                assert not got - left, name
+            if name == "near-duplicates" and rows:
+                groups = plain_groups([r[:2] for r in rows])
+                assert got == Counter({r: n for r, n in left.items() if r[0] is None or groups[r[0]] == r[0]})
+            if name == "decontamination" and rows:
+                assert {r[0] for r in left - got} == {4, 5}
+            if name == "sharding":
+                assert got == left
