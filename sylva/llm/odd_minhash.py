@@ -12,8 +12,9 @@ centre, the member that shares buckets with most others; components then merge w
 together, and only buckets that still hold several components go on.  There links through rare shingles are
 found by their rarest ones, and a member whose rare shingles leave too little to share with any size in the
 bucket is done; this settles the outer members of large families of copies without pairs.  What is left takes
-more centres a round, 8, then 64, then 256 (centres are done, they have met all others), until no bucket holds
-members of two components that have not met, so no link is lost to a cap.  Buckets, classes and components
+more centres a round, 8, then 64 (centres are done, they have met all others), until no bucket holds members
+of two components that have not met, so no link is lost to a cap; only pairs that sizes and sketches let pass
+are made into rows.  Buckets, classes and components
 that hold many rows are few by arithmetic: they are joined by a bounded broadcast, all others by a shuffle.
 
 Edge cases: null and empty texts have an empty set (n_shingles 0) and link with nothing; rows with one
@@ -176,7 +177,7 @@ def rare_shingles(rest: DataFrame, candidates: DataFrame, sets: DataFrame, perce
     return bound.select("rep", "most"), a.join(b, "g").filter("part_a <> part_b and a < b").select("a", "b").distinct()
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rare: int = 64, centres: tuple[int, ...] = (1, 8, 64, 256), broadcast_ids: int = 1_000_000) -> DataFrame:
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rare: int = 64, centres: tuple[int, ...] = (1, 8, 64), broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of documents.
 
     Documents whose shingle sets' similarity is percent / 100 or more are linked; component_id is the
@@ -236,20 +237,23 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
         while not open_rows.isEmpty():
             turn += 1
             slots = centres[min(turn, len(centres)) - 1]
-            best = open_rows.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(slots)).alias("slot")).agg(F.max_by(F.struct("rep", "n", "part", "most"), F.struct("score", -F.col("rep"))).alias("c"), F.count("*").alias("m"))
+            told = ["rep", "n", "part", "most", *(["sketch"] if turn > 1 else [])]
+            best = open_rows.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(slots)).alias("slot")).agg(F.max_by(F.struct(*told), F.struct("score", -F.col("rep"))).alias("c"), F.count("*").alias("m"))
             best = _store.saved(best.groupBy("key").agg(F.collect_list("c").alias("cs"), F.sum("m").alias("m")), f"{path}/centres{turn}")  # no more than slots of them a key
-            faced = _skew.lookup(open_rows, best, ["key"], "m")
-            met = faced.select("rep", "n", "part", "most", F.explode("cs").alias("c")).filter("part <> c.part and n <= coalesce(c.most, n) and c.n <= coalesce(most, c.n)")
-            met = met.filter(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent)
-            pairs = met.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+            faced = _skew.lookup(open_rows, best, ["key"], "m", 5000)
+            fits = f"part <> c.part AND n <= coalesce(c.most, n) AND c.n <= coalesce(most, c.n) AND least(n, c.n) * 100 >= greatest(n, c.n) * {percent}"
+            if turn > 1:
+                fits += " AND " + " + ".join(f"bit_count(sketch[{i}] ^ c.sketch[{i}])" for i in range(BITS // 64)) + f" <= {limit}"
+            met = faced.select("rep", F.explode(F.expr(f"transform(filter(cs, c -> {fits}), c -> c.rep)")).alias("c"))
+            pairs = met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
             labels = grown(labels, confirmed(pairs, f"links{turn}"), f"{path}/parts{turn}")
-            rest = _store.saved(parted(faced.filter("NOT exists(cs, c -> c.rep = rep)").select("key", "rep", "n", "score", "most")), f"{path}/rest{turn}")
+            rest = _store.saved(parted(faced.filter("NOT exists(cs, c -> c.rep = rep)").drop("cs", "m")), f"{path}/rest{turn}")
             open_rows = undecided(rest, f"{path}/several{turn}")
             if turn == 1:
                 open_rows = _store.saved(open_rows, f"{path}/first")
                 bound, shared = rare_shingles(open_rows, candidates, sets, percent, rare, path)
                 labels = grown(labels, confirmed(shared, "links_rare"), f"{path}/parts_rare")
-                open_rows = undecided(_store.saved(parted(open_rows.drop("most", "least").join(bound, "rep")), f"{path}/bounded"), f"{path}/several_rare")
+                open_rows = undecided(_store.saved(parted(open_rows.drop("most", "least").join(bound, "rep").join(candidates.select("rep", "sketch"), "rep")), f"{path}/bounded"), f"{path}/several_rare")
             open_rows = _store.saved(open_rows.filter("most >= least").drop("least"), f"{path}/open{turn}")
     found = classes.select("rep", *alone, "copies", "first", F.col("rep").alias("label"))
     if labels is not None:
