@@ -13,8 +13,9 @@ together, and only buckets that still hold several components go on.  There link
 found by their rarest ones, and a member whose rare shingles leave too little to share with any size in the
 bucket is done; this settles the outer members of large families of copies without pairs.  What is left takes
 more centres a round, 8, then 64 (centres are done, they have met all others), until no bucket holds members
-of two components that have not met, so no link is lost to a cap; only pairs that sizes and sketches let pass
-are made into rows.  Buckets, classes and components
+of two components that have not met, or until such pairs are few against the rows: then sketches of what is
+left meet in blocks of a few hundred members, dealt over tasks whatever a bucket holds.  No link is lost to a
+cap, and only pairs that sizes and sketches let pass are made into rows.  Buckets, classes and components
 that hold many rows are few by arithmetic: they are joined by a bounded broadcast, all others by a shuffle.
 
 Edge cases: null and empty texts have an empty set (n_shingles 0) and link with nothing; rows with one
@@ -177,12 +178,24 @@ def rare_shingles(rest: DataFrame, candidates: DataFrame, sets: DataFrame, perce
     return bound.select("rep", "most"), a.join(b, "g").filter("part_a <> part_b and a < b").select("a", "b").distinct()
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rare: int = 64, centres: tuple[int, ...] = (1, 8, 64), broadcast_ids: int = 1_000_000) -> DataFrame:
+def _in_blocks(rows: DataFrame, limit: int, block: int, path: str) -> DataFrame:
+    """(a, b) of rows with one key, of two components, that sizes and sketches let pass: a bucket's members are
+    dealt to blocks by hash, and every two blocks meet under a key of their own."""
+    sizes = _store.saved(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), path)
+    dealt = _skew.lookup(rows, sizes, ["key"], "m").withColumn("blocks", F.ceil(F.col("m") / block)).withColumn("own", F.expr("pmod(xxhash64(rep), blocks)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    side = lambda x, i, j: dealt.select("key", F.col("own").alias(i), F.col("other").alias(j), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "part", "n", "most", "sketch")))
+    met = side("a", "i", "j").join(side("b", "j", "i"), ["key", "i", "j"]).filter("part_a <> part_b and rep_a < rep_b and n_a <= most_b and n_b <= most_a")
+    return met.filter(popcount(F.col("sketch_a"), F.col("sketch_b")) <= limit).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rare: int = 64, centres: tuple[int, ...] = (1, 8, 64), spare: int = 64, block: int = 256, broadcast_ids: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of documents.
 
     Documents whose shingle sets' similarity is percent / 100 or more are linked; component_id is the
     smallest doc_id reachable.  ``centres``: how many centres a bucket takes by round, the last for all
-    further ones.  ``broadcast_ids``: the ids of one document a candidate class are broadcast to fetch its
+    further ones.  ``spare``: the sketches of pairs left across components are compared at once when these are
+    fewer than this multiple of the bucket rows, in blocks of about ``block`` members.  ``broadcast_ids``: the ids of one document a candidate class are broadcast to fetch its
     set if they are no more than this (some 100 MB), else joined by a shuffle.
     """
     spark = documents.sparkSession
@@ -209,6 +222,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
     in_bucket = classes.select("rep", "n", F.explode("bands").alias("key"))
     crowded = _store.saved(in_bucket.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), f"{path}/crowded")
     rows = _store.saved(_skew.lookup(in_bucket, crowded, ["key"], "m"), f"{path}/rows")
+    n_rows = rows.count()
     score = _store.saved(rows.groupBy("rep").agg(F.sum("m").alias("score")), f"{path}/score")
     n_candidates = score.count()
     if n_candidates:
@@ -255,6 +269,12 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
                 labels = grown(labels, confirmed(shared, "links_rare"), f"{path}/parts_rare")
                 open_rows = undecided(_store.saved(parted(open_rows.drop("most", "least").join(bound, "rep").join(candidates.select("rep", "sketch"), "rep")), f"{path}/bounded"), f"{path}/several_rare")
             open_rows = _store.saved(open_rows.filter("most >= least").drop("least"), f"{path}/open{turn}")
+            cross = open_rows.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("cross")).agg(F.sum("cross")).first()[0]
+            if not cross:
+                break
+            if cross // 2 <= spare * n_rows:
+                labels = grown(labels, confirmed(_in_blocks(open_rows, limit, block, f"{path}/sizes"), "links_last"), f"{path}/parts_last")
+                break
     found = classes.select("rep", *alone, "copies", "first", F.col("rep").alias("label"))
     if labels is not None:
         found = found.drop("label").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))

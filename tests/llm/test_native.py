@@ -69,6 +69,12 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert all(r.component_id == r.doc_id and r.kept for r in got if not r.n_shingles or r.doc_id is None)
 
 
+def test_blocks_meet_once(spark, tmp_path):
+    rows = [(k, i, i % 3, 100, 1000, [0] * 8) for k, n in ((1, 50), (2, 3), (3, 1)) for i in range(n)]
+    got = odd_minhash._in_blocks(spark.createDataFrame(rows, "key long, rep long, part long, n long, most long, sketch array<long>"), 0, 4, f"file://{tmp_path}/m").collect()
+    assert sorted(map(tuple, got)) == [(a, b) for a in range(50) for b in range(a + 1, 50) if a % 3 != b % 3]
+
+
 def test_near_duplicates_of_odd_rows(odd, none, odd_rows):
     got = sorted(odd_minhash.near_duplicates(odd, 3, 85).collect(), key=str)
     assert len(got) == len(odd_rows)
@@ -107,8 +113,8 @@ def test_every_copy_of_a_chain_is_found(spark):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     want = {i: find(i) for i in sets}
-    for centres in ((1, 8, 64), (1, 2)):
-        got = odd_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, centres=centres, broadcast_ids=100 * (centres == (1, 2)))
+    for centres, spare in (((1, 8, 64), 0), ((1, 2), 64)):
+        got = odd_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, centres=centres, spare=spare, block=16, broadcast_ids=spare)
         assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
