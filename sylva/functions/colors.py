@@ -77,13 +77,14 @@ def gradient(n: int = 32, ramp: tuple[str, str] = RAMP) -> list[str]:
     return [lerp_color(*ramp, i / max(1, n - 1)) for i in range(n)]
 
 
-# Words that head labels and are no taxa.
-NOT_TAXA = ["Other", "Others", "Unknown", "Unclassified", "Group", "Clade", "Total", "None", "All", "Root", "Node", "Sample", "Cluster", "Control", "Sequence", "Isolate"]
+# Labels, whatever their case, that stand for no organism.
+NOT_TAXA = ["other", "others", "unclassified", "unassigned", "unknown", "none", "na", "n/a", "outgroup", "reference", "environmental sample", "sp.", "uncultured", "misc", "mixed", "root"]
 
 
 def looks_like_a_taxon(name: Column) -> Column:
-    first = F.split(name, r"[\s_]")[0]
-    return name.rlike("^[A-Z][a-z]") & ~first.isin(NOT_TAXA)
+    """Whether a label begins with a capital and is none of NOT_TAXA."""
+    label = F.trim(name)
+    return label.rlike(r"^\p{Lu}") & ~F.lower(label).isin(NOT_TAXA)
 
 
 def nice_step(span: Column, want: int = 10) -> Column:

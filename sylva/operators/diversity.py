@@ -93,17 +93,19 @@ def mntd(nodes: DataFrame, table: DataFrame, abundance_weighted: bool = False, d
 
 
 def beta_mntd(nodes: DataFrame, table: DataFrame, abundance_weighted: bool = True, distances: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """(tree_id, a, b, beta_mntd) of samples a < b: mean nearest distance from each to the other, averaged."""
+    """(tree_id, a, b, beta_mntd) of samples a < b: mean nearest distance from each to the other, averaged.
+
+    Distances to a sample's nearest taxon are reduced first, a row a sample and taxon, so samples meet on taxa
+    and rows grow with samples squared times taxa."""
     d = distances if distances is not None else patristic_distances(nodes)
     both = _both_ways(d)
     zero = both.select("tree_id", F.col("x"), F.col("x").alias("y"), F.lit(0.0).alias("d")).distinct()
     both = both.union(zero)
     w = _weights(table) if not by else table
     keys = ["tree_id", *by]
-    a, b = w.select(*by, F.col("sample").alias("s"), F.col("taxon").alias("x"), "w"), w.select(*by, F.col("sample").alias("t"), F.col("taxon").alias("y"))
-    cross = (a.join(b, list(by)) if by else a.join(b, F.lit(True))).filter("s <> t").join(both, ["x", "y"])
-    near = cross.groupBy(*keys, "s", "t", "x").agg(F.min("d").alias("d"), F.first("w").alias("w"))
-    one_way = near.groupBy(*keys, "s", "t").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w") if abundance_weighted else F.avg("d")).alias("m"))
+    near = w.select(*by, F.col("sample").alias("t"), F.col("taxon").alias("y")).join(both, "y").groupBy(*keys, "t", "x").agg(F.min("d").alias("d"))
+    met = w.select(*by, F.col("sample").alias("s"), F.col("taxon").alias("x"), "w").join(near, [*by, "x"]).filter("s <> t")
+    one_way = met.groupBy(*keys, "s", "t").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w") if abundance_weighted else F.avg("d")).alias("m"))
     return one_way.groupBy(*keys, F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.avg("m").alias("beta_mntd"))
 
 

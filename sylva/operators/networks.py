@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numerics import nnls
+from ..session import shared_dir
 
 # -- graphs ---------------------------------------------------------------------------------------
 
@@ -41,9 +42,7 @@ def connected_components(names: DataFrame, edges: DataFrame, most: int = 60, che
     """
     spark = names.sparkSession
     if checkpoint and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sylva-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     cut = (lambda df: df.checkpoint()) if checkpoint else (lambda df: df)
     both = cut(edges.select("x", "y").union(edges.select("y", "x")).distinct())
     labels = cut(names.select("name", F.col("name").alias("label")))
@@ -55,6 +54,8 @@ def connected_components(names: DataFrame, edges: DataFrame, most: int = 60, che
         labels = new.select("name", "label")
         if not new.filter("old <> label").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"components have not settled in {most} rounds")
     size = labels.groupBy("label").agg(F.count("*").alias("size")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "label")))
     return labels.join(size, "label").select("name", F.col("label").alias("component"), "size", "place")
 

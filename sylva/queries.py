@@ -717,13 +717,9 @@ def figure_scene(s, d):
 def stream_community_pd(s, d):
     import uuid
 
+    from .session import shared_dir
     from .streaming import community as ST
 
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="sylva-")
     counts = ST.windowed(ST.file_stream(s, d), "event_type", "1 day")
     run = uuid.uuid4().hex[:8]
-    return ST.run_to_table(counts, f"community_{run}", f"{base}/stream-{run}").select("sample", "taxon", "abundance")
+    return ST.run_to_table(counts, f"community_{run}", f"{shared_dir(s)}/stream-{run}").select("sample", "taxon", "abundance")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +23,13 @@ def session(app: str = "sylva", cpus: int | str | None = None, **conf: str) -> S
     spark = SparkSession.builder.config(map=settings | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one where a local session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="sylva-")
+    return base.rstrip("/")

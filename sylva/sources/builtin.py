@@ -13,7 +13,7 @@ from .newick import parse_newick
 PRIMATES = "(((((Human:0.06,Chimp:0.06)95:0.04,Gorilla:0.10)90:0.04,Orangutan:0.16)98:0.06,Gibbon:0.20)100:0.10,(Macaque:0.20,Baboon:0.18)85:0.12);"
 
 
-HABITATS = [("Human", "terrestrial", 62), ("Chimp", "forest", 45), ("Gorilla", "forest", 140), ("Orangutan", "forest", 65), ("Gibbon", "forest", 7), ("Macaque", "mixed", 9), ("Baboon", "savanna", 20)]
+HABITATS = [("Human", "urban", 62), ("Chimp", "forest", 45), ("Gorilla", "forest", 160), ("Orangutan", "forest", 75), ("Gibbon", "forest", 8), ("Macaque", "savanna", 11), ("Baboon", "savanna", 25)]
 
 
 def primates_metadata(spark: SparkSession) -> DataFrame:
