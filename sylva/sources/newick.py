@@ -12,6 +12,7 @@ from ..operators.phylo import NODES, Node, TreeError, frame, tree
 
 _BARE = re.compile(r"[^\s()\[\]{},:;'\"=/\\]+$")
 _STOP = "()[]{},:;'"
+_BRACKET = re.compile(r"[\[\]]")
 
 
 class _Text:
@@ -29,15 +30,20 @@ class _Text:
     def comment(self) -> str | None:
         found = []
         while self.peek() == "[":
-            end = self.text.find("]", self.at)
-            if end < 0:
+            begin = self.at
+            depth = 0
+            for mark in _BRACKET.finditer(self.text, begin):
+                depth += 1 if mark[0] == "[" else -1
+                if not depth:
+                    break
+            if depth:
                 self.fail("a comment does not end")
-            found.append(self.text[self.at + 1 : end])
-            self.at = end + 1
+            found.append(self.text[begin + 1 : mark.start()])
+            self.at = mark.end()
         return "".join(found) or None
 
     def label(self) -> tuple[str | None, bool]:
-        """(label or None, whether it was quoted)."""
+        """(label or None, whether it was quoted); a bare label may hold blanks, those at its ends do not count."""
         if self.peek() in ("'", '"') and self.peek():
             quote, out = self.peek(), []
             self.at += 1
@@ -52,9 +58,9 @@ class _Text:
                 out.append(quote)
                 self.at += 1
         begin = self.at
-        while self.at < len(self.text) and self.text[self.at] not in _STOP and not self.text[self.at].isspace():
+        while self.at < len(self.text) and self.text[self.at] not in _STOP:
             self.at += 1
-        return self.text[begin : self.at] or None, False
+        return self.text[begin : self.at].strip() or None, False
 
     def number(self) -> float:
         self.peek()

@@ -116,6 +116,13 @@ def test_parsimony():
     assert B.fitch(star, *m("ABBA")) == 2 and B.fitch(star, *m("AABB")) == 1
 
 
+def test_loose_newick():
+    root = NW.parse_newick("( Homo sapiens :1 , B[a [nested] note]:2 ) inner node ;")
+    assert root.names() == ["Homo sapiens", "B"] and root.name == "inner node" and [c.length for c in root.children] == [1, 2]
+    assert root.children[1].comment == "a [nested] note"
+    assert NW.parse_newick(NW.to_newick(root)).names() == root.names()
+
+
 def test_annotations():
     a = NW.parse_annotation("&height=1.5,height_95%_HPD={8.2,5.1},posterior=1.0,!color=#ff0000")
     assert a["height_95_lower"] == "5.1" and a["height_95_upper"] == "8.2" and a["color"] == "#ff0000" and a["height_95%_HPD"] == "{8.2,5.1}"
