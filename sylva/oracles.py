@@ -116,6 +116,16 @@ top AS (SELECT nation, 'segment' AS character, c_mktsegment AS state, count(*) A
 ch AS (SELECT nation AS name, character, state FROM top QUALIFY row_number() OVER (PARTITION BY nation, character ORDER BY n DESC, state DESC) = 1)
 """
 
+#: Nodes where a rectangular layout puts them.
+_PLACED = "r AS (SELECT node_id, parent_id, depth_len AS x, (leaf_lo + leaf_lo + n_tips - 1) / 2.0::DOUBLE AS y FROM indexed) "
+_SEGMENTS = "seg AS (SELECT nation, v FROM (SELECT nation, c_mktsegment AS v, count(*) AS n FROM orders_of GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY nation ORDER BY n DESC, v DESC) = 1), ranked AS (SELECT nation, dense_rank() OVER (ORDER BY v) AS k FROM seg) "
+#: Clades of two trees with each taxon left out in turn (no clade is as large as half the tips, so a split is its clade).
+_ROGUE = """sides AS (SELECT 'a' AS t, g, name FROM tips UNION ALL SELECT 'b', g, name FROM tips2), outs AS (SELECT '' AS wo UNION ALL SELECT name FROM tips),
+clades AS (SELECT DISTINCT t, wo, k FROM (SELECT t, g, wo, string_agg(name, '|' ORDER BY name) AS k FROM sides, outs WHERE name <> wo GROUP BY ALL HAVING count(*) >= 2)),
+shared AS (SELECT wo, k, count(*) AS c FROM clades GROUP BY ALL),
+rf AS (SELECT wo, count(*) FILTER (c = 1) / (2.0 * ((SELECT count(*) FROM tips) - (wo <> '')::INTEGER - 3))::DOUBLE AS rf FROM shared GROUP BY wo),
+best AS (SELECT wo, rf FROM rf WHERE wo <> '' ORDER BY rf, wo LIMIT 1) """
+
 SQL: dict[str, str] = {
     "tree_nodes_index": _tree("""SELECT node_id, parent_id, (CASE kind WHEN 'tip' THEN row_number() OVER (PARTITION BY kind, g ORDER BY k) - 1 WHEN 'group' THEN row_number() OVER (PARTITION BY kind ORDER BY g) - 1 ELSE 0 END)::INTEGER AS child_ord,
       name, length, (CASE kind WHEN 'tip' THEN node_id WHEN 'group' THEN node_id + n_tips ELSE (SELECT max(node_id) FROM numbered) END)::INTEGER AS pre_end,
@@ -259,5 +269,45 @@ SQL: dict[str, str] = {
       wi AS (SELECT perm_id, sum(ss / m) AS within FROM (SELECT p.perm_id, p.label, sum(d * d) AS ss FROM u JOIN lab p ON p.item = x JOIN lab q ON q.item = y AND q.perm_id = p.perm_id WHERE p.label = q.label GROUP BY ALL) JOIN sz USING (label) GROUP BY perm_id),
       nk AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM gr), fs AS (SELECT perm_id, n, k, (total - within) / (k - 1) / (within / (n - k)) AS f, 1 - within / total AS r2 FROM wi, t, nk), o AS (SELECT f AS f0, r2, n, k FROM fs WHERE perm_id = 0)
       SELECT round(any_value(f0), 9) AS f, round(any_value(o.r2), 9) AS r2, round((count(*) FILTER (fs.f >= f0 - 1e-12) + 1) / (count(*) + 1), 9) AS p, any_value(o.n) AS n, any_value(o.k) AS k FROM fs, o WHERE perm_id > 0"""),
+    "tree_swap_children": _tree("SELECT name, (CASE WHEN g = 0 THEN [1, 2, 0, 4, 3][leaf_lo + 1] ELSE leaf_lo END)::INTEGER AS tip_ord FROM indexed WHERE kind = 'tip'"),
+    "tree_leaf_names": _tree("SELECT gname AS name, string_agg(name, '|' ORDER BY k) AS leaves FROM tips GROUP BY gname UNION ALL SELECT 'root', string_agg(name, '|' ORDER BY g, k) FROM tips"),
+    "primates_joined": "SELECT name, depth_len::DOUBLE AS depth_len, habitat, body_mass_kg FROM (VALUES ('Human', 0.3, 'urban', 62), ('Chimp', 0.3, 'forest', 45), ('Gorilla', 0.3, 'forest', 160), ('Orangutan', 0.32, 'forest', 75), ('Gibbon', 0.3, 'forest', 8), ('Macaque', 0.32, 'savanna', 11), ('Baboon', 0.3, 'savanna', 25)) t(name, depth_len, habitat, body_mass_kg)",
+    "taxon_like_labels": "SELECT label, regexp_matches(trim(label), '^\\p{Lu}') AS taxon FROM (SELECT n_name AS label FROM nation UNION SELECT r_name FROM region UNION SELECT c_mktsegment FROM customer UNION SELECT event_type FROM events UNION SELECT o_orderpriority FROM orders)",
+    "layout_cladogram": _tree("SELECT node_id, depth::DOUBLE AS x, ((leaf_lo + leaf_lo + n_tips - 1) / 2.0)::DOUBLE AS y FROM indexed"),
+    "layout_inward": _tree("r AS (SELECT node_id, max(depth_len) OVER () - depth_len AS radius, 2 * pi() * (leaf_lo + leaf_lo + n_tips - 1) / 2.0 / (SELECT count(*) FROM tips) AS angle FROM indexed) SELECT node_id, round(radius * cos(angle), 5) AS x, round(radius * sin(angle), 5) AS y FROM r"),
+    "slanted_paths": _tree(_PLACED + "SELECT c.node_id AS ord, p.x AS x0, p.y AS y0, c.x AS x1, c.y AS y1 FROM r c JOIN r p ON p.node_id = c.parent_id"),
+    "circular_paths": _tree(_PLACED + """, o AS (SELECT *, 2 * pi() * y / (SELECT count(*) FROM tips) AS angle FROM r), k AS (SELECT p.node_id, p.x, min(c.angle) AS a, max(c.angle) AS b FROM o c JOIN o p ON p.node_id = c.parent_id GROUP BY ALL)
+      SELECT c.node_id, 'branch' AS part, round(p.x * cos(c.angle), 5) AS x1, round(p.x * sin(c.angle), 5) AS y1, round(c.x * cos(c.angle), 5) AS x0, round(c.x * sin(c.angle), 5) AS y0 FROM o c JOIN o p ON p.node_id = c.parent_id
+      UNION ALL SELECT node_id, 'connector', round(x * cos(a), 5), round(x * sin(a), 5), round(x * cos(b), 5), round(x * sin(b), 5) FROM k"""),
+    "tip_label_scene": _tree("SELECT node_id AS ord, name, 'true' AS italic, round(depth_len, 9) AS x0, leaf_lo::DOUBLE AS y0 FROM indexed WHERE kind = 'tip'"),
+    "node_label_scene": _tree("SELECT node_id AS ord, name, round(depth_len, 9) AS x0, ((leaf_lo + leaf_lo + n_tips - 1) / 2.0)::DOUBLE AS y0 FROM indexed WHERE kind = 'group'"),
+    "highlight_clade": _tree("b AS (SELECT node_id, name, depth_len AS l, (SELECT max(depth_len) FROM indexed) AS r, (leaf_lo - 0.5)::DOUBLE AS lo, (leaf_lo + n_tips - 0.5)::DOUBLE AS hi FROM indexed WHERE name = 'ASIA') SELECT node_id AS ord, name, '#ff0000' AS color, 0.3::DOUBLE AS alpha, round(l, 9) AS x0, lo AS y0, round(r, 9) AS x1, lo AS y1, round(r, 9) AS x2, hi AS y2, round(l, 9) AS x3, hi AS y3 FROM b"),
+    "clade_label_scene": _tree("b AS (SELECT node_id AS ord, round((SELECT max(depth_len) FROM indexed) * 1.05, 9) AS x, leaf_lo::DOUBLE AS lo, (leaf_lo + n_tips - 1)::DOUBLE AS hi FROM indexed WHERE name = 'ASIA') SELECT ord, 'path' AS kind, NULL AS text, x AS x0, lo AS y0, x AS x1, hi AS y1 FROM b UNION ALL SELECT ord, 'label', 'Asia', x, (lo + hi) / 2, NULL, NULL FROM b"),
+    "connection_curves": _tree("""n AS (SELECT name, depth_len AS x, (leaf_lo + leaf_lo + n_tips - 1) / 2.0::DOUBLE AS y FROM indexed), m AS (SELECT max(depth_len) AS m FROM indexed)
+      SELECT a.name || '-' || b.name AS text, round(a.x, 9) AS x0, round(a.y, 9) AS y0, round(a.x / 4 + ((a.x + b.x) / 2 + m * 0.3) / 2 + b.x / 4, 9) AS x10, round((a.y + b.y) / 2, 9) AS y10, round(b.x, 9) AS x20, round(b.y, 9) AS y20
+      FROM region JOIN n a ON a.name = 'NATION_' || r_regionkey JOIN n b ON b.name = r_name, m"""),
+    "domain_blocks": _tree("""b AS (SELECT nation, c_mktsegment AS domain, count(*) AS n FROM orders_of GROUP BY ALL), u AS (SELECT *, sum(n) OVER (PARTITION BY nation ORDER BY domain) AS upto FROM b), whole AS (SELECT max(upto) AS z FROM u), m AS (SELECT max(depth_len) AS m FROM indexed)
+      SELECT node_id AS ord, domain, round(m * 1.02 + m * 0.6 * (upto - n) / z, 9)::DOUBLE AS x0, (leaf_lo - 0.35)::DOUBLE AS y0, round(m * 1.02 + m * 0.6 * upto / z, 9)::DOUBLE AS x1, (leaf_lo - 0.35)::DOUBLE AS y1 FROM u JOIN indexed ON name = nation AND kind = 'tip', whole, m"""),
+    "collapsed_triangles": _tree("SELECT 1::INTEGER AS ord, count(*)::VARCHAR AS n, min(glen)::DOUBLE AS x0, 0.0::DOUBLE AS y0, round(min(glen) + max(len), 9) AS x1, -0.4::DOUBLE AS y1, round(min(glen) + min(len), 9) AS x2, 0.4::DOUBLE AS y2 FROM tips WHERE gname = 'AFRICA'"),
+    "alignment_rows": _aln("t AS (SELECT n_name AS name, (1 + n_regionkey + row_number() OVER (ORDER BY n_regionkey, n_nationkey))::INTEGER AS ord FROM nation) SELECT ord, string_agg(CASE ch WHEN '-' THEN -1 ELSE ascii(ch) - 65 END, ',' ORDER BY col) AS codes FROM sites JOIN t USING (name) GROUP BY ord"),
+    "point_shapes": _tree(_SEGMENTS + "SELECT node_id AS ord, ['o', 's', '^', 'D', 'v'][ranked.k] AS marker, ['#0072B2', '#E69F00', '#009E73', '#CC79A7', '#56B4E9'][ranked.k] AS color FROM indexed JOIN ranked ON name = nation WHERE kind = 'tip'"),
+    "point_sizes": _tree("tr AS (SELECT n_name AS name, sum(c_acctbal::DECIMAL(15,2))::DOUBLE AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT node_id AS ord, round(4 + 12 * (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 6) AS size FROM indexed JOIN tr USING (name) WHERE kind = 'tip'"),
+    "scene_bounds": _tree("SELECT 'geo' AS fig_id, 0.0::DOUBLE AS min_x, max(depth_len) AS max_x, 0.0::DOUBLE AS min_y, max(leaf_lo)::DOUBLE AS max_y FROM indexed"),
+    "mirrored_paths": _tree(_PLACED + "SELECT c.node_id AS ord, 5 - p.x AS x0, 2 * p.y AS y0, 5 - c.x AS x1, 2 * c.y AS y1 FROM r c JOIN r p ON p.node_id = c.parent_id"),
+    "panel_places": _tree("n AS (SELECT count(*) FILTER (kind <> 'root') AS edges, count(*) FILTER (kind = 'tip') AS tips, count(*) FILTER (kind <> 'tip') AS inner_nodes FROM numbered) SELECT 0 AS panel, 0 AS panel_row, 0 AS panel_col, edges AS n FROM n UNION ALL SELECT 1, 0, 1, tips FROM n UNION ALL SELECT 3, 1, 1, edges + inner_nodes FROM n"),
+    "ribbon_spans": _tree("o AS (SELECT t.gname AS label, row_number() OVER (ORDER BY t.g, t.k) - 1 AS l, row_number() OVER (ORDER BY u.g, u.k) - 1 AS r FROM tips t JOIN tips2 u USING (name)) SELECT label, min(l)::INTEGER AS lo_a, max(l)::INTEGER AS hi_a, min(r)::INTEGER AS lo_b, max(r)::INTEGER AS hi_b FROM o GROUP BY label"),
+    "legend_entries": "SELECT 'geo' AS fig_id, 'legend' AS kind, (k - 1)::INTEGER AS ord, value AS text, 'segment' AS title, ['#0072B2', '#E69F00', '#009E73', '#CC79A7', '#56B4E9', '#D55E00', '#F0E442', '#999999'][k] AS color, 'patch' AS swatch FROM (SELECT value, row_number() OVER (ORDER BY value) AS k FROM (SELECT DISTINCT c_mktsegment AS value FROM customer))",
+    "colorbar_ends": "SELECT 'geo' AS fig_id, 'colorbar' AS kind, 'c_acctbal' AS text, min(c_acctbal)::DOUBLE AS lo, max(c_acctbal)::DOUBLE AS hi, '#f7fbff' AS first, 8::INTEGER AS stops FROM customer",
+    "network_pairs": _tree("e AS (SELECT x, y, CASE WHEN d < 2 THEN 1 / d ELSE 1.0 END::DOUBLE AS w FROM dist WHERE d < 4.5) SELECT name, count(*) AS degree, round(sum(w), 9) AS weight FROM (SELECT x AS name, w FROM e UNION ALL SELECT y, w FROM e) GROUP BY name"),
+    "network_colors": _tree("c AS (SELECT label, row_number() OVER (ORDER BY label = 'AMERICA', label) AS k FROM (SELECT DISTINCT gname AS label FROM tips)) SELECT name, label, CASE WHEN label = 'AMERICA' THEN '#cccccc' ELSE ['#0072B2', '#E69F00', '#009E73', '#CC79A7', '#56B4E9'][c.k] END AS color FROM tips JOIN c ON label = gname"),
+    "network_labels": _tree("SELECT 0::INTEGER AS ord, name, round(depth_len, 9) AS x0, leaf_lo::DOUBLE AS y0 FROM indexed WHERE name IN ('NATION_3', 'NATION_11')"),
+    "fitch_parsimony": _aln("""mask AS (SELECT n_regionkey AS g, n_nationkey AS k, col, CASE ch WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 15 END::BIGINT AS m FROM sites JOIN nation ON n_name = name),
+      inner_node AS (SELECT g, col, list_reduce(list(m ORDER BY k), lambda a, b: CASE WHEN ((a & 15) & b) = 0 THEN (a + 16) | b ELSE a - (a & 15) + ((a & 15) & b) END) AS r FROM mask GROUP BY g, col),
+      top AS (SELECT col, sum(r // 16) AS below, list_reduce(list(r & 15 ORDER BY g), lambda a, b: CASE WHEN ((a & 15) & b) = 0 THEN (a + 16) | b ELSE a - (a & 15) + ((a & 15) & b) END) AS r FROM inner_node GROUP BY col)
+      SELECT 'orders' AS tree_id, sum(below + r // 16)::DOUBLE AS score FROM top"""),
+    "rogue_taxon": _tree(_ROGUE + "SELECT 'geo' AS a, 'geo2' AS b, round(o.rf, 9) AS rf, w.wo AS taxon, round(w.rf, 9) AS rf_without, round(CASE WHEN o.rf > 0 THEN (o.rf - w.rf) / o.rf ELSE 0 END, 9)::DOUBLE AS explained FROM best w, rf o WHERE o.wo = ''"),
+    "gene_tree_conflict": _tree(_ROGUE + """, nb AS (SELECT a.name AS x, b.name AS y, 'a' AS t FROM tips a JOIN tips b ON a.g = b.g AND a.name <> b.name UNION ALL SELECT a.name, b.name, 'b' FROM tips2 a JOIN tips2 b ON a.g = b.g AND a.name <> b.name),
+      moved AS (SELECT x, 1 - count(*) FILTER (c = 2) / count(*) AS v FROM (SELECT x, y, count(*) AS c FROM nb GROUP BY ALL) GROUP BY x)
+      SELECT 'geo2' AS gene, round(o.rf, 9) AS rf, w.wo AS taxon, round((SELECT avg(v) FROM moved), 9) AS mean_displacement, (SELECT count(*) FROM moved) AS n_shared FROM best w, rf o WHERE o.wo = ''"""),
     "stream_community_pd": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS sample, event_type AS taxon, count(*)::DOUBLE AS abundance FROM events GROUP BY ALL",
 }

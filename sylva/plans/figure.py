@@ -1,7 +1,7 @@
 """Figures as tables of drawing primitives: each element joins metadata to placed nodes.
 
 A scene is (fig_id, kind, zorder, ord, points, text, style).  Elements are functions from the placed
-tree and their data to such rows; a figure is their union.  Rendering is a plain SVG text sink.
+tree and their data to such rows; a figure is their union.  SVG, HTML and JSON sinks draw it.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ def primitives(df: DataFrame, kind: str, points: Column, zorder: float, text: Co
     return df.select(F.col("tree_id").alias("fig_id"), F.lit(kind).alias("kind"), F.lit(float(zorder)).alias("zorder"), F.col(order).cast("int").alias("ord"), points.alias("points"), (text if text is not None else F.lit(None)).cast("string").alias("text"), style(**styles).alias("style"))
 
 
+def no_points() -> Column:
+    return F.array().cast("array<struct<x:double,y:double>>")
+
+
 def number(value: Column) -> Column:
     """Six significant digits without trailing zeros."""
     text = F.format_string("%.6g", value)
@@ -290,6 +294,32 @@ def time_axis(placed: DataFrame, ticks: int = 6, bands: bool = True) -> DataFram
     return out
 
 
+# -- keys ----------------------------------------------------------------------------------------------------
+
+
+def legend(figures: DataFrame, scale: DataFrame, swatch: str = "point") -> DataFrame:
+    """An entry a category of a colour scale, for each figure (tree_id); swatch: point or patch.  No points: keys take no part in bounds."""
+    if swatch not in ("point", "patch"):
+        raise ValueError("a swatch is point or patch")
+    x = figures.select("tree_id").distinct().crossJoin(F.broadcast(scale))  # a scale has a row a category drawn
+    return primitives(x, "legend", no_points(), 9.0, F.col("value"), order="place", title=F.col("title"), color=F.col("color"), swatch=swatch)
+
+
+def colorbar(figures: DataFrame, scale: DataFrame, stops: int = 8) -> DataFrame:
+    """One row for each figure: the ramp's title, bounds and colours from low to high."""
+    ends = scale.agg(F.min_by(F.col("value"), "place").alias("lo"), F.max_by(F.col("value"), "place").alias("hi"), F.first("title").alias("title"))
+    x = figures.select("tree_id").distinct().crossJoin(F.broadcast(ends)).filter("lo is not null").withColumn("place", F.lit(0))
+    return primitives(x, "colorbar", no_points(), 9.0, F.col("title"), order="place", min=F.col("lo"), max=F.col("hi"), stops=",".join(C.gradient(stops)))
+
+
+def key(placed: DataFrame, data: DataFrame, column: str, title: str | None = None, swatch: str = "point", **options) -> DataFrame:
+    """The legend or colour bar of a table's column, as its values read."""
+    categorical = options.pop("categorical", None)
+    categorical = not is_numeric(data, column) if categorical is None else categorical
+    scale = color_scale(data, column, title, categorical=categorical, **options)
+    return legend(placed, scale, swatch) if categorical else colorbar(placed, scale)
+
+
 # -- figures -----------------------------------------------------------------------------------------------
 
 
@@ -326,13 +356,30 @@ class TreeFigure:
         placed = self.placed().persist()  # every element reads it
         return reduce(DataFrame.unionByName, [branches(placed, self.stroke)] + [e(placed) for e in self.elements])
 
+    def add_scale(self, data: DataFrame, column: str, **options) -> TreeFigure:
+        """A legend or colour bar for a column of a table."""
+        return self.add(key, data, column, **options)
+
     def save(self, path: str) -> None:
-        """Parquet of the scene, or with .svg one drawing a figure."""
-        if path.endswith(".svg"):
-            svg(self.scene()).select("svg").coalesce(1).write.text(path)
+        """Parquet of the scene, or with .svg, .html or .json (traces for a browser's plotting library) one drawing a figure."""
+        if path.endswith((".svg", ".html")):
+            drawn = svg(self.scene(), title=self.title)
+            drawn.select(page(F.col("svg"), self.title or "").alias("t") if path.endswith(".html") else "svg").coalesce(1).write.text(path)
+        elif path.endswith(".json"):
+            traces(self.scene()).select("json").coalesce(1).write.text(path)
         else:
             self.scene().write.parquet(path)
 
+    def show(self) -> str:
+        """The drawing of the first figure, shown in a notebook where there is one."""
+        text = svg(self.scene(), title=self.title).orderBy("fig_id").limit(1).first().svg
+        try:
+            from IPython.display import SVG, display
+        except ImportError:
+            return text
+        display(SVG(text))
+        return text
+
 
 for _name, _element in {"tip_labels": tip_labels, "node_labels": node_labels, "support_labels": support_labels, "points": points, "highlight": highlight, "clade_label": clade_label, "heatmap": heatmap, "ring": ring_stack, "bar_track": bar_track, "alignment": alignment_track, "painted_branches": painted_branches, "node_pies": node_pies, "collapsed_clades": collapsed_clades, "node_bars": node_bars, "connections": connections, "domains": domains, "scale_bar": scale_bar, "time_axis": time_axis}.items():
     setattr(TreeFigure, _name, lambda self, *a, _e=_element, **k: self.add(_e, *a, **k))
@@ -387,19 +434,100 @@ def bounds(scene: DataFrame) -> DataFrame:
     return p.groupBy("fig_id").agg(*[f(F.col(f"p.{c}")).alias(f"{n}_{c}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
 
 
-def svg(scene: DataFrame, width: int = 800, height: int = 600) -> DataFrame:
-    """(fig_id, svg): paths, polygons, circles and texts of each figure, scaled to a box."""
-    b = bounds(scene)
-    at = lambda p: F.concat_ws(",", F.format_string("%.2f", (p["x"] - F.col("min_x")) * (width - 40) / F.greatest(F.col("max_x") - F.col("min_x"), F.lit(1e-9)) + 20), F.format_string("%.2f", (p["y"] - F.col("min_y")) * (height - 40) / F.greatest(F.col("max_y") - F.col("min_y"), F.lit(1e-9)) + 20))
-    x = scene.join(b, "fig_id").withColumn("xy", F.transform("points", at))
-    said = F.coalesce(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(""))
-    color = lambda *k: F.coalesce(*[F.col("style")[c] for c in k], F.lit("black"))
-    pair = lambda a, b_: F.concat(F.lit(f'{a}="'), F.split(F.col("xy")[0], ",")[0], F.lit(f'" {b_}="'), F.split(F.col("xy")[0], ",")[1], F.lit('"'))
+# Corners of markers that are no circle, as parts of the radius.
+CORNERS = {
+    "s": [(-1, -1), (1, -1), (1, 1), (-1, 1)],
+    "^": [(0, -1), (1, 1), (-1, 1)],
+    "v": [(0, 1), (1, -1), (-1, -1)],
+    "<": [(-1, 0), (1, -1), (1, 1)],
+    ">": [(1, 0), (-1, -1), (-1, 1)],
+    "D": [(0, -1), (1, 0), (0, 1), (-1, 0)],
+    "P": [(-0.4, -1), (0.4, -1), (0.4, -0.4), (1, -0.4), (1, 0.4), (0.4, 0.4), (0.4, 1), (-0.4, 1), (-0.4, 0.4), (-1, 0.4), (-1, -0.4), (-0.4, -0.4)],
+    "X": [(0, -0.5), (0.5, -1), (1, -0.5), (0.5, 0), (1, 0.5), (0.5, 1), (0, 0.5), (-0.5, 1), (-1, 0.5), (-0.5, 0), (-1, -0.5), (-0.5, -1)],
+    "*": [((1 if k % 2 == 0 else 0.45) * math.sin(math.pi * k / 5), -(1 if k % 2 == 0 else 0.45) * math.cos(math.pi * k / 5)) for k in range(10)],
+}
+
+
+def escaped(text: Column) -> Column:
+    for plain, said in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(plain), F.lit(said))
+    return F.coalesce(text, F.lit(""))
+
+
+def svg(scene: DataFrame, width: int = 800, height: int = 600, title: str | None = None) -> DataFrame:
+    """(fig_id, svg): each figure scaled to a box, its styles kept, keys at the right; what has a text shows it on hovering."""
+    two = lambda v: F.format_string("%.2f", v)
+    keyed = F.col("kind").isin("legend", "colorbar")
+    side = F.when(F.max(keyed.cast("int")).over(Window.partitionBy("fig_id")) > 0, 160).otherwise(0)
+    x = scene.withColumn("_side", side).join(bounds(scene), "fig_id", "left")
+    px = lambda p: (p["x"] - F.col("min_x")) * (width - 40 - F.col("_side")) / F.greatest(F.col("max_x") - F.col("min_x"), F.lit(1e-9)) + 20
+    py = lambda p: (p["y"] - F.col("min_y")) * (height - 60) / F.greatest(F.col("max_y") - F.col("min_y"), F.lit(1e-9)) + 40
+    x = x.withColumn("at", F.transform("points", lambda p: F.struct(px(p).alias("x"), py(p).alias("y"))))
+    first = Window.partitionBy("fig_id", keyed).orderBy(F.col("style")["title"], "ord", "text")
+    x = x.withColumn("_line", F.when(keyed, F.row_number().over(first)))
+    said, look = escaped(F.col("text")), lambda k, other: F.coalesce(F.col("style")[k], F.lit(str(other)))
+    xy = F.array_join(F.transform("at", lambda p: F.concat(two(p["x"]), F.lit(","), two(p["y"]))), " ")
+    cx, cy = F.get("at", F.lit(0))["x"], F.get("at", F.lit(0))["y"]
+    hint = F.when(said != "", F.concat(F.lit("<title>"), said, F.lit("</title>"))).otherwise(F.lit(""))
+    own = lambda name, **given: F.concat(F.lit(f"<{name}"), *[part for k, v in given.items() for part in (F.lit(f' {k.replace("_", "-")}="'), v if isinstance(v, Column) else F.lit(str(v)), F.lit('"'))], F.lit(">"))
+    r = F.coalesce(F.expr("try_cast(style['size'] AS DOUBLE)"), F.lit(6.0)) / 2
+    marker = F.concat(own("circle", cx=two(cx), cy=two(cy), r=two(r), fill=look("color", "black")), hint, F.lit("</circle>"))
+    for shape, corners in CORNERS.items():
+        ring = F.concat_ws(" ", *[F.concat(two(cx + r * a), F.lit(","), two(cy + r * b)) for a, b in corners])
+        marker = F.when(look("marker", "o") == shape, F.concat(own("polygon", points=ring, fill=look("color", "black")), hint, F.lit("</polygon>"))).otherwise(marker)
+    codes = F.split("text", ",")
+    wide, table = (F.get("at", F.lit(1))["x"] - cx) / F.greatest(F.size(codes), F.lit(1)), F.array(*[F.lit(c) for c in C.hue_palette(26)])
+    cell = F.transform(codes, lambda c, i: F.when(c.cast("int") >= 0, F.concat(own("rect", x=two(cx + wide * i), y=two(F.least(cy, F.get("at", F.lit(2))["y"])), width=two(wide), height=two(F.abs(F.get("at", F.lit(2))["y"] - cy)), fill=F.get(table, F.pmod(c.cast("int"), F.lit(26)))), F.lit("</rect>"))).otherwise(F.lit("")))
+    left, line = width - 150, F.lit(30) + 18 * F.col("_line")
+    patch = own("rect", x=left, y=two(line - 9.0), width=10, height=10, fill=look("color", "black"))
+    dot = own("circle", cx=left + 5, cy=two(line - 4.0), r=4, fill=look("color", "black"))
+    entry = F.concat(F.when(look("swatch", "point") == "patch", F.concat(patch, F.lit("</rect>"))).otherwise(F.concat(dot, F.lit("</circle>"))), own("text", x=left + 16, y=two(line.cast("double")), font_size=10), said, F.lit("</text>"))
+    entry = F.concat(F.when(F.col("ord") == 0, F.concat(own("text", x=left, y=two(line - 14.0), font_size=10, font_weight="bold"), escaped(F.col("style")["title"]), F.lit("</text>"))).otherwise(F.lit("")), entry)
+    stops = F.split(look("stops", ""), ",")
+    bar = F.concat(own("text", x=left, y=two(line.cast("double")), font_size=10), said, F.lit(": "), look("min", ""), F.lit(" - "), look("max", ""), F.lit("</text>"), F.array_join(F.transform(stops, lambda c, i: F.concat(own("rect", x=(F.lit(left) + 12 * i).cast("string"), y=two(line + 4.0), width=12, height=8, fill=c), F.lit("</rect>"))), ""))
     tag = (
-        F.when(F.col("kind") == "path", F.concat(F.lit('<polyline fill="none" stroke="'), color("color"), F.lit('" points="'), F.array_join("xy", " "), F.lit('"/>')))
-        .when(F.col("kind") == "marker", F.concat(F.lit("<circle "), pair("cx", "cy"), F.lit(' r="3" fill="'), color("color"), F.lit('"/>')))
-        .when(F.col("kind") == "label", F.concat(F.lit("<text "), pair("x", "y"), F.lit(">"), said, F.lit("</text>")))
-        .otherwise(F.concat(F.lit('<polygon fill="'), color("facecolor"), F.lit('" points="'), F.array_join("xy", " "), F.lit('"/>')))
+        F.when(F.col("kind") == "path", F.concat(own("polyline", fill="none", stroke=look("color", "black"), stroke_width=look("width", 1), stroke_opacity=look("alpha", 1), points=xy), hint, F.lit("</polyline>")))
+        .when(F.col("kind") == "marker", marker)
+        .when(F.col("kind") == "label", F.concat(own("text", x=two(cx), y=two(cy), font_size=look("size", 10), font_style=F.when(look("italic", "false") == "true", "italic").otherwise("normal"), fill=look("color", "black")), said, F.lit("</text>")))
+        .when(F.col("kind") == "raster", F.array_join(cell, ""))
+        .when(F.col("kind") == "legend", entry)
+        .when(F.col("kind") == "colorbar", bar)
+        .otherwise(F.concat(own("polygon", fill=look("facecolor", "black"), fill_opacity=look("alpha", 1), points=xy), hint, F.lit("</polygon>")))
     )
     body = x.groupBy("fig_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("zorder", "ord", tag.alias("t")))), lambda e: e["t"]), "").alias("b"))
-    return body.select("fig_id", F.concat(F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">'), "b", F.lit("</svg>")).alias("svg"))
+    head = F.concat(F.lit('<text x="20" y="20" font-size="14">'), escaped(F.lit(title)), F.lit("</text>")) if title else F.lit("")
+    return body.select("fig_id", F.concat(F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">'), head, "b", F.lit("</svg>")).alias("svg"))
+
+
+def page(drawing: Column, title: str) -> Column:
+    """A drawing in a page of its own."""
+    return F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), escaped(F.lit(title)), F.lit("</title></head><body>"), drawing, F.lit("</body></html>"))
+
+
+def traces(scene: DataFrame) -> DataFrame:
+    """(fig_id, json): {"data": [...], "layout": {...}} of scatter and heatmap traces; keys are traces with a name and no points."""
+    kind = F.col("kind")
+    num = lambda k: F.expr(f"try_cast(style['{k}'] AS DOUBLE)")
+    color = F.coalesce(F.col("style")["color"], F.col("style")["facecolor"])
+    raster, p = kind == "raster", lambda i: F.get("points", F.lit(i))
+    codes = F.split("text", ",").cast("array<int>")
+    trace = F.struct(
+        F.when(raster, "heatmap").otherwise("scatter").alias("type"),
+        F.when(~raster, F.transform("points", lambda q: q["x"])).alias("x"),
+        F.when(~raster, F.transform("points", lambda q: q["y"])).alias("y"),
+        F.when(raster, F.array(codes)).alias("z"),
+        F.when(raster, p(0)["x"]).alias("x0"),
+        F.when(raster, (p(1)["x"] - p(0)["x"]) / F.greatest(F.size(codes), F.lit(1))).alias("dx"),
+        F.when(raster, (p(0)["y"] + p(2)["y"]) / 2).alias("y0"),
+        F.when(~raster, F.when(kind == "label", "text").when(kind.isin("marker", "legend"), "markers").otherwise("lines")).alias("mode"),
+        F.when(kind == "polygon", "toself").alias("fill"),
+        F.when(kind == "polygon", color).alias("fillcolor"),
+        F.when(~raster & F.col("text").isNotNull(), F.array("text")).alias("text"),
+        F.when(kind.isin("legend", "colorbar"), F.col("text")).alias("name"),
+        kind.isin("legend", "colorbar").alias("showlegend"),
+        F.when(kind.isin("path", "polygon"), F.struct(color.alias("color"), num("width").alias("width"))).alias("line"),
+        F.when(kind.isin("marker", "legend"), F.struct(color.alias("color"), num("size").alias("size"))).alias("marker"),
+        num("alpha").alias("opacity"),
+    )
+    data = scene.groupBy("fig_id").agg(F.array_sort(F.collect_list(F.struct("zorder", "ord", trace.alias("t")))).alias("d"))
+    return data.select("fig_id", F.to_json(F.struct(F.transform("d", lambda e: e["t"]).alias("data"), F.struct(F.struct(F.col("fig_id").alias("text")).alias("title"), F.lit("closest").alias("hovermode")).alias("layout"))).alias("json"))

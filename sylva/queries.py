@@ -20,6 +20,8 @@ from .operators import paths as P
 from .operators import rooting as R
 from .plans import build, figure
 from .plans import layout as L
+from .plans import netplot
+from .sources import builtin
 from .sources import newick as NW
 from .sources import tables as T
 
@@ -713,6 +715,175 @@ def figure_scene(s, d):
     return fig.scene().select("kind", "zorder", "ord", "text", F.size("points").alias("n_points"))
 
 
+# -- more trees, elements and keys ----------------------------------------------------------------------------------
+
+
+def _xy(scene: DataFrame, *columns, n: int = 2, digits: int = 9) -> DataFrame:
+    """Rows of a scene with the coordinates of their first points."""
+    return scene.select("ord", *columns, *(F.round(F.get("points", F.lit(i))[c], digits).alias(f"{c}{i}") for i in range(n) for c in "xy"))
+
+
+@query
+def tree_swap_children(s, d):
+    return R.on_every(D.geo(s, d), R.swap_children, "AFRICA", [2, 0, 1, 4, 3]).filter("is_leaf").select("name", "tip_ord")
+
+
+@query
+def tree_leaf_names(s, d):
+    rows = lambda t: [(n.name or "root", "|".join(n.names())) for n in t.preorder() if not n.is_leaf]
+    return C.by_tree(D.geo(s, d), rows, "name string, leaves string").select("name", "leaves")
+
+
+@query
+def primates_joined(s, d):
+    n = P.join_data(builtin.primates(s), builtin.primates_metadata(s)).filter("is_leaf")
+    return n.select("name", r9("depth_len").alias("depth_len"), F.col("data")["habitat"].alias("habitat"), F.col("data")["body_mass_kg"].cast("int").alias("body_mass_kg"))
+
+
+@query
+def taxon_like_labels(s, d):
+    from .functions import colors
+
+    said = [D.table(s, d, t).select(F.col(c).alias("label")) for t, c in (("nation", "n_name"), ("region", "r_name"), ("customer", "c_mktsegment"), ("events", "event_type"), ("orders", "o_orderpriority"))]
+    labels = said[0].union(said[1]).union(said[2]).union(said[3]).union(said[4]).distinct()
+    return labels.select("label", colors.looks_like_a_taxon(F.col("label")).alias("taxon"))
+
+
+@query
+def layout_cladogram(s, d):
+    return L.get_layout("cladogram")(D.geo(s, d)).select("node_id", r9("x").alias("x"), r9("y").alias("y"))
+
+
+@query
+def layout_inward(s, d):
+    return L.get_layout("inward")(D.geo(s, d)).select("node_id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
+@query
+def slanted_paths(s, d):
+    return _xy(figure.TreeFigure(D.geo(s, d), "slanted").scene())
+
+
+@query
+def circular_paths(s, d):
+    paths = L.branch_paths(L.circular(D.geo(s, d)), "circular")
+    ends = lambda i: [F.round(F.element_at("points", i)[c], 5).alias(f"{c}{max(i, 0)}") for c in "xy"]
+    return paths.select("node_id", "part", *ends(1), *ends(-1))
+
+
+@query
+def tip_label_scene(s, d):
+    return _xy(figure.tip_labels(L.rectangular(D.geo(s, d)), italic=True), F.col("text").alias("name"), F.col("style")["italic"].alias("italic"), n=1)
+
+
+@query
+def node_label_scene(s, d):
+    return _xy(figure.node_labels(L.rectangular(D.geo(s, d)), ["name"]), F.col("text").alias("name"), n=1)
+
+
+@query
+def highlight_clade(s, d):
+    return _xy(figure.highlight(L.rectangular(D.geo(s, d)), "ASIA", color="#ff0000", alpha=0.3), F.col("text").alias("name"), F.col("style")["facecolor"].alias("color"), F.col("style")["alpha"].cast("double").alias("alpha"), n=4)
+
+
+@query
+def clade_label_scene(s, d):
+    return _xy(figure.clade_label(L.rectangular(D.geo(s, d)), "ASIA", "Asia"), "kind", "text")
+
+
+@query
+def connection_curves(s, d):
+    pairs = D.table(s, d, "region").select(F.concat(F.lit("NATION_"), "r_regionkey").alias("a"), F.col("r_name").alias("b"))
+    scene = figure.connections(L.rectangular(D.geo(s, d)), pairs)
+    return scene.select("text", *(F.round(F.col("points")[i][c], 9).alias(f"{c}{i}") for i in (0, 10, 20) for c in "xy"))
+
+
+@query
+def domain_blocks(s, d):
+    blocks = D.orders_of_nations(s, d).groupBy(F.col("nation").alias("name"), F.col("c_mktsegment").alias("domain")).agg(F.count("*").alias("length")).withColumn("ord", F.col("domain"))
+    return _xy(figure.domains(L.rectangular(D.geo(s, d)), blocks), F.col("text").alias("domain"))
+
+
+@query
+def collapsed_triangles(s, d):
+    n = R.on_every(D.geo(s, d), R.collapse_clade, "AFRICA", "AFRICA")
+    return _xy(figure.collapsed_clades(L.rectangular(n)), F.col("text").alias("n"), n=3)
+
+
+@query
+def alignment_rows(s, d):
+    return figure.alignment_track(L.rectangular(D.geo(s, d)), D.alignment(s, d)).select("ord", F.col("text").alias("codes"))
+
+
+@query
+def point_shapes(s, d):
+    n = P.join_data(D.geo(s, d), D.characters(s, d))
+    return figure.points(L.rectangular(n), "tips", shape_by="segment", color_by="segment").select("ord", F.col("style")["marker"].alias("marker"), F.col("style")["color"].alias("color"))
+
+
+@query
+def point_sizes(s, d):
+    n = P.join_data(D.geo(s, d), D.traits(s, d).select("name", F.col("value").cast("decimal(20,2)").alias("balance")))
+    return figure.points(L.rectangular(n), "tips", size_by="balance").select("ord", F.round(F.col("style")["size"].cast("double"), 6).alias("size"))
+
+
+@query
+def scene_bounds(s, d):
+    return figure.bounds(figure.branches(L.rectangular(D.geo(s, d)), "rectangular"))
+
+
+@query
+def mirrored_paths(s, d):
+    return _xy(figure.mirrored(figure.branches(L.rectangular(D.geo(s, d)), "straight"), 5.0, 2.0))
+
+
+@query
+def panel_places(s, d):
+    placed = L.rectangular(D.geo(s, d))
+    scene = figure.panels([figure.branches(placed, "straight"), figure.tip_labels(placed), figure.support_labels(placed), figure.branches(placed, "rectangular")])
+    return scene.groupBy("panel", "panel_row", "panel_col").agg(F.count("*").alias("n"))
+
+
+@query
+def ribbon_spans(s, d):
+    groups = D.table(s, d, "nation").join(D.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("label"))
+    return figure.ribbons(D.geo(s, d), D.geo(s, d, "n_nationkey div 5", "geo2"), groups)
+
+
+@query
+def legend_entries(s, d):
+    return figure.key(D.geo(s, d), D.table(s, d, "customer"), "c_mktsegment", "segment", "patch").select("fig_id", "kind", "ord", "text", F.col("style")["title"].alias("title"), F.col("style")["color"].alias("color"), F.col("style")["swatch"].alias("swatch"))
+
+
+@query
+def colorbar_ends(s, d):
+    return figure.key(D.geo(s, d), D.table(s, d, "customer"), "c_acctbal").select("fig_id", "kind", "text", F.col("style")["min"].cast("double").alias("lo"), F.col("style")["max"].cast("double").alias("hi"), F.substring_index(F.col("style")["stops"], ",", 1).alias("first"), F.size(F.split(F.col("style")["stops"], ",")).alias("stops"))
+
+
+@query
+def network_pairs(s, d):
+    near = P.patristic_distances(D.geo(s, d)).filter("d < 4.5").select("x", "y", F.expr("if(d < 2, 1 / d, NULL)").alias("w"))
+    names, edges = N.edges_from_pairs(near)
+    degree = edges.select(F.col("x").alias("name"), "w").union(edges.select("y", "w")).groupBy("name").agg(F.count("*").alias("degree"), r9(F.sum("w")).alias("weight"))
+    return names.join(degree, "name").select("name", "degree", "weight")
+
+
+def _regions(s, d):
+    return D.table(s, d, "nation").join(D.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("label"))
+
+
+@query
+def network_colors(s, d):
+    at = L.rectangular(D.geo(s, d)).filter("is_leaf").select("name", "x", "y")
+    return netplot.color_by(at, _regions(s, d), baseline="AMERICA")[0].select("name", "label", "color")
+
+
+@query
+def network_labels(s, d):
+    at = L.rectangular(D.geo(s, d)).filter("is_leaf").select("name", "x", "y")
+    return _xy(netplot.label_nodes(at, ["NATION_3", "NATION_11"]), F.col("text").alias("name"), n=1)
+
+
 @query
 def stream_community_pd(s, d):
     import uuid

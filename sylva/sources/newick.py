@@ -132,6 +132,38 @@ def to_newick(root: Node, with_support: bool = True) -> str:
     return said[id(root)] + ";"
 
 
+# -- trees of other libraries ------------------------------------------------------------------
+
+
+def from_biopython(tree) -> Node:
+    """A tree of clades (name, branch_length, confidence, comment, clades) as nodes."""
+    root = None
+    todo = [(tree.root, None)]
+    while todo:
+        clade, parent = todo.pop()
+        n = Node(clade.name, clade.branch_length)
+        n.support, n.comment = getattr(clade, "confidence", None), getattr(clade, "comment", None)
+        if parent is None:
+            root = n
+        else:
+            parent.add(n)
+        todo += [(c, n) for c in reversed(clade.clades)]
+    return root
+
+
+def to_biopython(root: Node, name: str | None = None, clade: type | None = None, tree: type | None = None):
+    """Nodes as that library's tree; its own classes unless others are given."""
+    if clade is None or tree is None:
+        from Bio.Phylo.BaseTree import Clade as clade
+        from Bio.Phylo.BaseTree import Tree as tree
+    made = {}
+    for n in root.postorder():
+        c = clade(branch_length=n.length, name=n.name)
+        c.confidence, c.clades = n.support, [made.pop(id(x)) for x in n.children]
+        made[id(n)] = c
+    return tree(root=made[id(root)], name=name)
+
+
 # -- annotations ------------------------------------------------------------------------------
 
 
