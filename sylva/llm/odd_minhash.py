@@ -15,7 +15,8 @@ bucket is done; this settles the outer members of large families of copies witho
 more centres a round, 8, then 64 (centres are done, they have met all others), until no bucket holds members
 of two components that have not met, or until such pairs are few against the rows: then sketches of what is
 left meet in blocks of a few hundred members, dealt over tasks whatever a bucket holds.  No link is lost to a
-cap, and only pairs that sizes and sketches let pass are made into rows.  Buckets, classes and components
+cap; there pairs never become rows: members with a partner do, and links that join components, which the full
+sets confirm inside the task that holds both blocks.  Buckets, classes and components
 that hold many rows are few by arithmetic: they are joined by a bounded broadcast, all others by a shuffle.
 
 Edge cases: null and empty texts have an empty set (n_shingles 0) and link with nothing; rows with one
@@ -178,15 +179,74 @@ def rare_shingles(rest: DataFrame, candidates: DataFrame, sets: DataFrame, perce
     return bound.select("rep", "most"), a.join(b, "g").filter("part_a <> part_b and a < b").select("a", "b").distinct()
 
 
-def _in_blocks(rows: DataFrame, limit: int, block: int, path: str) -> DataFrame:
+def _dealt(rows: DataFrame, block: int, path: str) -> DataFrame:
+    """rows of buckets of at least two, each with its block by hash (own) and its bucket's number of blocks, of
+    about ``block`` members and a million words of sets."""
+    sizes = _store.saved(rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("words")).filter("m > 1"), path)
+    dealt = _skew.lookup(rows, sizes, ["key"], "m").withColumn("blocks", F.expr(f"least(m, greatest(ceil(m / {block}), ceil(words / {1 << 20})))"))
+    return dealt.withColumn("own", F.expr("pmod(xxhash64(rep), blocks)"))
+
+
+def _in_blocks(rows: DataFrame, limit: int, block: int, path: str, how: str = "inner") -> DataFrame:
     """(a, b) of rows with one key, of two components, that sizes and sketches let pass: a bucket's members are
-    dealt to blocks by hash, and every two blocks meet under a key of their own."""
-    sizes = _store.saved(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), path)
-    dealt = _skew.lookup(rows, sizes, ["key"], "m").withColumn("blocks", F.ceil(F.col("m") / block)).withColumn("own", F.expr("pmod(xxhash64(rep), blocks)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    side = lambda x, i, j: dealt.select("key", F.col("own").alias(i), F.col("other").alias(j), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "part", "n", "most", "sketch")))
-    met = side("a", "i", "j").join(side("b", "j", "i"), ["key", "i", "j"]).filter("part_a <> part_b and rep_a < rep_b and n_a <= most_b and n_b <= most_a")
-    return met.filter(popcount(F.col("sketch_a"), F.col("sketch_b")) <= limit).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    dealt to blocks by hash, and every two blocks meet under a key of their own.  With ``how`` left_semi, (key, rep)
+    of the rows that have such a partner."""
+    dealt = _dealt(rows, block, path).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    side = lambda x, i, j: dealt.select(F.col("key").alias(f"key_{x}"), F.col("own").alias(f"{i}_{x}"), F.col("other").alias(f"{j}_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "part", "n", "most", "sketch")))
+    near = F.expr("key_a = key_b and i_a = i_b and j_a = j_b and part_a <> part_b and n_a <= most_b and n_b <= most_a") & (popcount(F.col("sketch_a"), F.col("sketch_b")) <= limit)
+    if how == "left_semi":
+        return side("a", "i", "j").join(side("b", "j", "i"), near, how).select(F.col("key_a").alias("key"), F.col("rep_a").alias("rep")).distinct()
+    return side("a", "i", "j").join(side("b", "j", "i"), near & F.expr("rep_a < rep_b"), how).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def cell_links(limit: int, percent: int):
+    """applyInArrow function: the members of two blocks to links (a, b) that sizes and sketches let pass and the
+    full sets confirm, no more than hold the components of the cell together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        rep, part, n, most, own = (table.column(c).to_numpy() for c in ("rep", "part", "n", "most", "own"))
+        lists = lambda c: pa.concat_arrays(table.column(c).chunks)
+        sketch = lists("sketch").flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
+        shingles = lists("shingles")
+        words, at = shingles.flatten().to_numpy(), shingles.offsets.to_numpy() - shingles.offsets[0].as_py()
+        top = {p: p for p in part.tolist()}
+
+        def find(p):
+            while top[p] != p:
+                top[p] = p = top[top[p]]
+            return p
+
+        left, right, links = np.flatnonzero(own == i), np.flatnonzero(own == j), []
+        for x in left:
+            y = right if i != j else right[rep[right] > rep[x]]
+            y = y[(part[y] != part[x]) & (n[x] <= most[y]) & (n[y] <= most[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+            differing = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+            for z in y[np.argsort(differing, kind="stable")][: np.count_nonzero(differing <= limit)]:
+                p, q = find(int(part[x])), find(int(part[z]))
+                if p == q:
+                    continue
+                both = len(np.intersect1d(words[at[x] : at[x + 1]], words[at[z] : at[z + 1]], assume_unique=True))
+                if both * 100 >= (n[x] + n[z] - both) * percent:
+                    top[q] = p
+                    links.append((min(rep[x], rep[z]), max(rep[x], rep[z])))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def linked_in_blocks(rows: DataFrame, sets: DataFrame, limit: int, percent: int, block: int, path: str) -> DataFrame:
+    """(a, b) links that join the components of all links between members of a bucket.
+
+    Members with a partner that sizes and sketches let pass are found first, a row each; their sets then meet a cell
+    of two blocks a time.  A cell gives fewer links than it has members, however many pairs in it are alike."""
+    paired = _store.saved(_in_blocks(rows, limit, block, f"{path}/sizes", "left_semi"), f"{path}/paired")
+    kept = _store.saved(rows.join(paired.hint("merge"), ["key", "rep"], "left_semi").select("key", "rep", "part", "n", "most", "sketch"), f"{path}/paired_rows")
+    dealt = _dealt(kept, block, f"{path}/paired_sizes").join(sets.hint("merge"), "rep")
+    cells = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    cells = cells.select("key", "i", "j", "own", "rep", "part", "n", "most", "sketch", "shingles")
+    return cells.groupBy("key", "i", "j").applyInArrow(cell_links(limit, percent), "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rare: int = 64, centres: tuple[int, ...] = (1, 8, 64), spare: int = 64, block: int = 256, broadcast_ids: int = 1_000_000) -> DataFrame:
@@ -273,7 +333,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
             if not cross:
                 break
             if cross // 2 <= spare * n_rows:
-                labels = grown(labels, confirmed(_in_blocks(open_rows, limit, block, f"{path}/sizes"), "links_last"), f"{path}/parts_last")
+                links = _store.saved(linked_in_blocks(open_rows, sets, limit, percent, block, path), f"{path}/links_last")
+                labels = grown(labels, links, f"{path}/parts_last")
                 break
     found = classes.select("rep", *alone, "copies", "first", F.col("rep").alias("label"))
     if labels is not None:

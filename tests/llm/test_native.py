@@ -75,6 +75,26 @@ def test_blocks_meet_once(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(a, b) for a in range(50) for b in range(a + 1, 50) if a % 3 != b % 3]
 
 
+def test_pairs_in_blocks_do_not_become_rows(spark, tmp_path):
+    """A family of mutual copies gives links that join it, not its pairs; what sketches let pass and sets do not is no link."""
+    base = list(range(100))
+    sets = {i: [*base, 1000 + i] for i in range(120)} | {i: [10_000 * i + x for x in range(101)] for i in range(120, 130)}
+    rows = [(key, i, i, 101, 1000, [-1] * 8) for key in (1, 2) for i in sets]
+    table = spark.createDataFrame(rows, "key long, rep long, part long, n long, most long, sketch array<long>")
+    got = odd_minhash.linked_in_blocks(table, spark.createDataFrame(list(sets.items()), "rep long, shingles array<long>"), 0, 85, 50, f"file://{tmp_path}/m").collect()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in got:
+        assert a < b < 120
+        parent[find(b)] = find(a)
+    assert len({find(i) for i in range(120)}) == 1 and len(got) < 1000 < 120 * 119 / 2
+
+
 def test_near_duplicates_of_odd_rows(odd, none, odd_rows):
     got = sorted(odd_minhash.near_duplicates(odd, 3, 85).collect(), key=str)
     assert len(got) == len(odd_rows)
