@@ -16,8 +16,9 @@ more centres a round, 8, then 64 (centres are done, they have met all others), u
 of two components that have not met, or until such pairs are few against the rows: then sketches of what is
 left meet in blocks of a few hundred members, dealt over tasks whatever a bucket holds.  No link is lost to a
 cap; there pairs never become rows: members with a partner do, and links that join components, which the full
-sets confirm inside the task that holds both blocks.  Buckets, classes and components
-that hold many rows are few by arithmetic: they are joined by a bounded broadcast, all others by a shuffle.
+sets confirm inside the task that holds both blocks.  Buckets are told apart from those of one class by one
+sort-merge join, which adaptive execution splits.  Open buckets, classes and components that hold many rows are
+few by arithmetic: they are joined by a bounded broadcast, all others by a shuffle.
 
 Edge cases: null and empty texts have an empty set (n_shingles 0) and link with nothing; rows with one
 doc_id are one document: if their texts differ, the classes of all of them are linked; ties go to the
@@ -281,7 +282,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
     # buckets with at least two classes
     in_bucket = classes.select("rep", "n", F.explode("bands").alias("key"))
     crowded = _store.saved(in_bucket.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), f"{path}/crowded")
-    rows = _store.saved(_skew.lookup(in_bucket, crowded, ["key"], "m"), f"{path}/rows")
+    rows = _store.saved(in_bucket.join(crowded.hint("merge"), "key"), f"{path}/rows")  # most rows are alone in their bucket: one exchange drops them, and a hot key can be split
     n_rows = rows.count()
     score = _store.saved(rows.groupBy("rep").agg(F.sum("m").alias("score")), f"{path}/score")
     n_candidates = score.count()

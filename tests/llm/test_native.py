@@ -95,6 +95,23 @@ def test_pairs_in_blocks_do_not_become_rows(spark, tmp_path):
     assert len({find(i) for i in range(120)}) == 1 and len(got) < 1000 < 120 * 119 / 2
 
 
+def test_rows_alone_in_their_bucket_leave_at_once(spark, monkeypatch):
+    """Only rows of buckets with several classes go through lookups by key, which pass rows of other keys on."""
+    rows = [(i, " ".join(f"t{i}w{j}" for j in range(30))) for i in range(80)]
+    rows += [(100 + i, " ".join(f"base{j}" for j in range(60)) + f" end{i}") for i in range(3)]
+    handed, lookup = [], _skew.lookup
+
+    def counted(rows, table, keys, *rest):
+        if keys == ["key"]:
+            handed.append(rows.count())
+        return lookup(rows, table, keys, *rest)
+
+    monkeypatch.setattr(_skew, "lookup", counted)
+    got = odd_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: min(i, 100) for i, _ in rows}
+    assert handed and max(handed) <= 3 * odd_minhash.bands_for(0.85) < 80 * odd_minhash.bands_for(0.85)
+
+
 def test_near_duplicates_of_odd_rows(odd, none, odd_rows):
     got = sorted(odd_minhash.near_duplicates(odd, 3, 85).collect(), key=str)
     assert len(got) == len(odd_rows)
